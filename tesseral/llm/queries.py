@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, packing, quality
 from .common import read_table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(read_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -78,6 +83,7 @@ from d
 """
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,

@@ -1,0 +1,133 @@
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tesseral.llm import packing
+
+SCHEMA = "doc_id long, text string, sequence_id string"
+
+
+@given(st.dictionaries(st.integers(1, 64), st.integers(0, 300), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_plan_fills_without_overlap(counts):
+    placed = Counter()
+    spans = {}
+    for r in packing.plan_best_fit(counts, 64):
+        placed[r.length] += r.last - r.first
+        for j in range(r.last - r.first):
+            spans.setdefault(r.sequence + j // r.each, []).append((r.offset + j % r.each * r.length, r.length))
+    assert placed == Counter({k: v for k, v in counts.items() if v})
+    for parts in spans.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert sorted(spans) == list(range(len(spans)))
+    if sum(counts.values()) <= 600:
+        assert len(spans) == best_fit_decreasing([k for k, v in counts.items() for _ in range(v)], 64)
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        tight = min((r for r in rooms if r >= n), default=None)
+        if tight is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[rooms.index(tight)] -= n
+    return len(rooms)
+
+
+def test_plan_equals_best_fit_over_single_pieces():
+    rng = random.Random(5)
+    for _ in range(20):
+        lengths = [rng.randint(1, 100) for _ in range(400)]
+        runs = packing.plan_best_fit(Counter(lengths), 100)
+        used = {r.sequence + j // r.each for r in runs for j in range(r.last - r.first)}
+        assert len(used) == best_fit_decreasing(lengths, 100)
+
+
+TEXTS = [
+    None,
+    "",
+    "   ",
+    "The and attion to thanedble the, anea.\nEriner  thanea.",
+    "Éauou's  naïve STRAẞE straße ŒUVRE don't 12a34 x_y a-b (c) [d] ...%%% it's.\t\x0b\x85 é ẹ́.",
+    "<|endoftext|> mid<|startoftext|>word",
+    "ΣΑΣ ς İstanbul ǅ ﬁ 日本語 テスト 😀😀 a‍b",
+    "word " * 9000,
+    "x" * 5000,
+    "\x1c \x1d a\x1eb \x00 end.",
+]
+
+
+def test_encoding_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    words = packing._words(path)
+    for text in [t or "" for t in TEXTS]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.encode(text, words), "<u4").tolist() == want, text[:60]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aAbéÉß 's\n.,%ΣςİĲ̣́ \x1c9²"), st.characters(codec="utf-8")), max_size=40))
+def test_encoding_of_any_text(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = _tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encode(text, packing._words(path)), "<u4").tolist() == want
+
+
+_made = {}
+
+
+def _tokenizer(path):
+    from tokenizers import Tokenizer
+
+    if path not in _made:
+        _made[path] = Tokenizer.from_file(path)
+    return _made[path]
+
+
+def test_documents_keep_every_token(spark):
+    rows = [(i if i else None, t, "clash") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "clash")] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = packing.pack_documents(docs).collect()
+    tokenizer = _tokenizer(packing.default_tokenizer())
+    want = Counter()
+    for doc_id, text, _ in rows:
+        ids = np.asarray(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        for k, start in enumerate(range(0, len(ids), 4096)):
+            own = ids[start : start + 4096]
+            want[doc_id, k, start, len(own), zlib.crc32(own.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    made = {r.sequence_id: r for r in packing.sequences(docs).collect()}
+    assert sum(len(r.ids) for r in made.values()) == sum(k[3] * n for k, n in want.items())
+
+
+def test_empty_table(spark):
+    assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_lengths_must_fit():
+    with pytest.raises(ValueError):
+        packing.plan_best_fit({10: 1}, 5)
