@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, near_dedup, packing, quality
 from .common import read_table
 
 
@@ -70,6 +70,11 @@ from n, unnest(range(0, n)) as u(c)
 """
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.dedupe(docs).select("doc_id", "class_id", "kept")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedupe(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -86,6 +91,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}
