@@ -36,6 +36,13 @@ def content_keys(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)
 
 
+def paired(a: str, b: str, gap: int) -> Column:
+    """Hashes of (a[i], b[i + gap]) for two arrays of equal length: how hashes of longer word windows
+    are built from those of shorter ones without slicing any window out."""
+    rest = f"greatest(size({a}) - {gap}, 0)"
+    return F.expr(f"zip_with(slice({a}, 1, {rest}), slice({b}, {gap + 1}, {rest}), (x, y) -> xxhash64(x, y))")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

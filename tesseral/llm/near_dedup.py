@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_keys, settle, text_or_empty, words_of
+from .common import content_keys, paired, settle, text_or_empty, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair meets in some band with probability 0.99994; at 0.2 with 0.002.
@@ -33,14 +33,10 @@ def shingles(text: Column) -> dict[str, Column]:
     """Columns to add in turn; the last, __s, has a 64-bit hash for each place of a five-word
     shingle. Shorter texts have one shingle of all their words, empty ones none."""
 
-    def pairs(a: str, b: str, gap: int) -> str:
-        rest = f"greatest(size({a}) - {gap}, 0)"
-        return f"zip_with(slice({a}, 1, {rest}), slice({b}, {gap + 1}, {rest}), (a, b) -> xxhash64(a, b))"
-
     return {
         "__w": F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)),
-        "__w2": F.expr(pairs("__w", "__w", 1)),
-        "__w4": F.expr(pairs("__w2", "__w2", 2)),
+        "__w2": paired("__w", "__w", 1),
+        "__w4": paired("__w2", "__w2", 2),
         "__s": F.expr(
             f"case when size(__w) = 0 then cast(array() as array<bigint>) when size(__w) < {SHINGLE} then array(xxhash64(__w))"
             f" else zip_with(slice(__w4, 1, greatest(size(__w) - 4, 0)), slice(__w, 5, greatest(size(__w) - 4, 0)), (a, b) -> xxhash64(a, b)) end"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, content_keys, has_word, text_or_empty, words_of
+from .common import SPACE, SPACE_CHARS, content_keys, has_word, paired, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -28,10 +28,7 @@ def window_hashes(words: Column) -> dict[str, Column]:
     """Columns to add in turn; the last, __h8, has a 64-bit hash of each window of eight words.
     Hashes of one, two and four words are combined by doubling, so no window is sliced out."""
 
-    def pairs(h: str, gap: int) -> str:
-        return f"zip_with(slice({h}, 1, greatest(size({h}) - {gap}, 0)), slice({h}, {gap + 1}, greatest(size({h}) - {gap}, 0)), (a, b) -> xxhash64(a, b))"
-
-    return {"__h": F.transform(words, lambda w: F.xxhash64(w)), "__h2": F.expr(pairs("__h", 1)), "__h4": F.expr(pairs("__h2", 2)), "__h8": F.expr(pairs("__h4", 4))}
+    return {"__h": F.transform(words, lambda w: F.xxhash64(w)), "__h2": paired("__h", "__h", 1), "__h4": paired("__h2", "__h2", 2), "__h8": paired("__h4", "__h4", 4)}
 
 
 def _stats(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity
 from .common import read_table
 
 
@@ -81,6 +81,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedupe(docs).select("doc_id", "class_id", "kept")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedupe(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -99,6 +104,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}

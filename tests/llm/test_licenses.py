@@ -1,0 +1,62 @@
+import random
+import re
+
+from tesseral.llm import licenses
+
+SCHEMA = "doc_id long, text string, labels string"
+
+
+def words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def brute(text):
+    own, places, labels, best = words(text), [], set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        at = [i for i in range(len(own)) if own[i : i + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    more = set(labels)
+    for label, template in licenses.TEMPLATES.values():
+        t = words(template)
+        for d in range(-len(t), len(own)):
+            # a template in place without insertions
+            same = [0 <= i + d < len(own) and own[i + d] == w for i, w in enumerate(t)]
+            if sum(same) / len(t) >= licenses.COVERAGE and any(all(same[i : i + 4]) for i in range(len(t) - 3)):
+                more.add(label)
+                best = max(best, sum(same) / len(t))
+    return len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if places else best
+
+
+def test_scan_equals_brute_force(spark):
+    rng = random.Random(2)
+    filler = ["alpha", "Beta", "gamma1", "né", "under", "the", "mit", "license", "cc", "by", "nc", "apache", "version", "2"]
+    texts = [None, "", "  ,. ", "CC BY-NC cc by nc. cc, by nc", "under the MIT license", "UNDER THE MİT LICENSE", "x" * 100_000]
+    for _ in range(40):
+        parts = rng.choices(filler, k=rng.randint(0, 60))
+        if rng.random() < 0.6:
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(list(licenses.TEMPLATES.values()))[1])
+        texts.append(rng.choice([" ", "\n", ", "]).join(parts))
+    rows = [(i if i else None, t, "clash") for i, t in enumerate(texts)] + [(7, texts[7], "clash")] * 2
+    got = licenses.scan(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+    want = {t: brute(t) for t in texts}
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) == (*want[r.text][:6], round(want[r.text][6], 9)), r.text
+
+
+def test_neighbouring_diagonals_merge(spark):
+    label, text = licenses.TEMPLATES["mit-text"]
+    own = text.split()
+    edited = own[:20] + ["also"] + own[20:40] + own[41:]
+    rows = [(1, "before it " + " ".join(edited) + " after", None), (2, " ".join(own[: len(own) // 3]), None)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].labels == label and got[1].base_labels == "" and got[1].score > 0.95
+    assert len(got[1].license_spans) == 1 and got[1].license_spans[0].first_word == 2
+    assert got[2].labels == "" and got[2].score == 0
+
+
+def test_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
