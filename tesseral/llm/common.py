@@ -5,12 +5,14 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words wherever a contract speaks of white space.
 SPACE = r"[\x20\x09-\x0D]"
+BLOCK = 128
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -43,6 +45,27 @@ def paired(a: str, b: str, gap: int) -> Column:
     return F.expr(f"zip_with(slice({a}, 1, {rest}), slice({b}, {gap + 1}, {rest}), (x, y) -> xxhash64(x, y))")
 
 
+def fold(items: Column, kind: str, start: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A left fold over an array that collects an array: step(state, item) gives the next state and
+    an array (of type `kind`) to append. Appending copies what is there, so the fold works on blocks
+    of BLOCK items and appends block by block: an array of n items costs n * BLOCK + (n / BLOCK)^2."""
+    none, nones = F.array().cast(kind), F.array().cast(f"array<{kind}>")
+    count = F.ceil(F.size(items) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda b: F.slice(items, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
+
+    def inner(acc: Column, item: Column) -> Column:
+        state, more = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["all"], more).alias("all"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        begin = F.struct(acc["last"]["state"].alias("state"), none.alias("all"))
+        last = F.aggregate(block, begin, inner)
+        return F.struct(last.alias("last"), F.concat(acc["done"], F.array(acc["last"]["all"])).alias("done"))
+
+    first = F.struct(F.struct(start.alias("state"), none.alias("all")).alias("last"), nones.alias("done"))
+    return F.aggregate(blocks, first, outer, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]["all"]))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

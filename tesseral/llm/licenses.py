@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import content_keys, paired, settle, text_or_empty
+from .common import content_keys, fold, paired, settle, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -152,9 +152,8 @@ def phrase_places(joined: Column, phrase: str) -> Column:
     n = len(phrase.split())
     parts = F.split(joined, f" {phrase}(?= )")
     words_in = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    step = lambda acc, p: F.struct((acc["at"] + words_in(p) + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + words_in(p))).alias("all"))
-    found = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda acc: acc["all"])
+    step = lambda at, p: (at + words_in(p) + n, F.array(at + words_in(p)))
+    found = fold(F.slice(parts, F.lit(1), F.size(parts) - 1), "array<int>", F.lit(0), step)
     return F.when(F.contains(joined, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
 

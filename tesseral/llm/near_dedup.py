@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_keys, paired, settle, text_or_empty, words_of
+from .common import content_keys, has_word, paired, settle, text_or_empty, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair meets in some band with probability 0.99994; at 0.2 with 0.002.
@@ -199,8 +199,8 @@ def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     texts = nodes_of(docs).select("__node", text_or_empty().alias("__text"))
     reps = settle(representatives(docs))
     firsts = reps.select("rep").distinct().withColumnRenamed("rep", "__node")
-    distinct_texts = texts.join(firsts, "__node", "left_semi")
-    signed = with_shingles(distinct_texts, F.col("__text")).where(F.size("__s") > 0).select("__node", "__s")
+    distinct_texts = texts.where(has_word(F.col("__text"))).join(firsts, "__node", "left_semi")
+    signed = with_shingles(distinct_texts, F.col("__text")).select("__node", "__s")
     signed = settle(signed.mapInArrow(_sign, "node long, keys array<long>, b0 long, b1 long, b2 long"))
     rows = signed.select("node", "b0", "b1", "b2", F.posexplode("keys").alias("band", "key"))
     full = rows.groupBy("band", "key").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
