@@ -173,7 +173,10 @@ def judge(
             "\n",
         )
     )
-    return joined.select(*own, *added[:7], (~F.col("base_failed") & ~depleted).alias("kept"), clean.alias("clean_text"))
+    # one sum, not two conditions: a filter on it cannot be taken apart and pushed to where the
+    # figures of the text would be computed a second time
+    kept = F.col("base_failed").cast("int") + depleted.cast("int") == 0
+    return joined.select(*own, *added[:7], kept.alias("kept"), clean.alias("clean_text"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, toxicity
 from .common import read_table
 
 
@@ -76,6 +76,18 @@ from n, unnest(range(0, n)) as u(c)
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("pii_spans", lambda s: s["kind"] != "term")
+    return found.select(
+        "doc_id",
+        *(of_kind(k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.dedupe(docs).select("doc_id", "class_id", "kept")
@@ -103,6 +115,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
+    "op5_pii": op5_pii,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
