@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Bound of the training sample: texts of each class, and the longest one in characters. The texts
-#: with the smallest hashes of their ids are taken.
-SAMPLE = {1: 1600, 0: 3200}
+#: Bound of the training sample: labels of each class, and the longest text in characters.
+SAMPLE = {1: 2000, 0: 4000}
 SAMPLE_CHARS = 6_000
 BUCKETS, DIMENSIONS, PASSAGE = 1 << 17, 4, 4
 NGRAMS = (4, 5)
@@ -122,22 +121,22 @@ def train(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, steps:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> tuple[list[str], list[int]]:
-    """The training texts: rows with a label whose crc32(doc_id as text) mod 5 is not 0, at most
-    SAMPLE of each class and none longer than SAMPLE_CHARS, by the smallest hash of the id."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__y"))
+    """The training texts: of the labels whose crc32(doc_id as text) mod 5 is not 0, those SAMPLE of
+    each class with the smallest hash of the id, as far as their texts are not longer than
+    SAMPLE_CHARS. The ids are chosen from the labels alone, so at most that many ids are broadcast
+    to the texts and at most that many texts come back."""
+    known = labels.where(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
+    ids = [r for y, most in SAMPLE.items() for r in known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    chosen = docs.sparkSession.createDataFrame([(int(r["doc_id"]), r["__y"]) for r in ids], "doc_id long, __y int")
     rows = (
-        docs.where(~held_out())
-        .select("doc_id", text_or_empty().alias("__text"))
+        docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("__text"))
         .where(F.length("__text") <= SAMPLE_CHARS)
-        .join(known, "doc_id")
-        .withColumn("__h", F.xxhash64("doc_id"))
+        .join(F.broadcast(chosen), "doc_id")
+        .dropDuplicates(["doc_id"])
+        .collect()
     )
-    texts, ys = [], []
-    for y, most in SAMPLE.items():
-        for r in rows.where(F.col("__y") == y).orderBy("__h", "__text").limit(most).select("__text").collect():
-            texts.append(r[0])
-            ys.append(y)
-    return texts, ys
+    rows.sort(key=lambda r: r["doc_id"])
+    return [r["__text"] for r in rows], [r["__y"] for r in rows]
 
 
 def held_out(doc_id: str = "doc_id"):
