@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, toxicity
 from .common import read_table
 
 
@@ -98,6 +98,33 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedupe(docs).select("doc_id", "n_lines", "n_removed", "removed_spans", "clean_text")
+
+
+OP8_SQL = r"""
+with raw as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+w as (select doc_id, i, row_number() over (partition by doc_id order by i) - 1 as pos,
+        trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm
+      from raw where regexp_matches(line, '[^\x20\x09-\x0D]')),
+win as (select doc_id, pos, norm || chr(10) || lead(norm) over (partition by doc_id order by pos) || chr(10) || lead(norm, 2) over (partition by doc_id order by pos) as g from w),
+later as (select doc_id, pos from win where g is not null qualify row_number() over (partition by g order by doc_id, pos) > 1),
+gone as (select distinct doc_id, pos + k as pos from later, unnest(range(0, 3)) as u(k)),
+isl as (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as grp from gone),
+sp as (select doc_id, string_agg(lo::varchar || '-' || hi::varchar, ',' order by lo) as spans, sum(hi - lo + 1) as n
+       from (select doc_id, grp, min(pos) as lo, max(pos) as hi from isl group by 1, 2) group by 1),
+left_over as (select raw.doc_id, string_agg(raw.line, chr(10) order by raw.i) as t from raw
+  left join w on raw.doc_id = w.doc_id and raw.i = w.i left join gone on w.doc_id = gone.doc_id and w.pos = gone.pos
+  where gone.doc_id is null group by 1),
+n as (select doc_id, count(*) as n from w group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_lines, coalesce(sp.n, 0)::bigint as n_removed, coalesce(sp.spans, '') as removed_spans,
+  case when sp.n is null then d.text else coalesce(l.t, '') end as clean_text
+from documents d left join n using (doc_id) left join sp using (doc_id) left join left_over l using (doc_id)
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedupe(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -118,6 +145,9 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_line_dedup": op8_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES = {"op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {
+    "op8_line_dedup": OP8_SQL,
+    "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}
