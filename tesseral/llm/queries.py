@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, toxicity
+from . import exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, toxicity
 from .common import read_table
 
 
@@ -125,6 +125,27 @@ from documents d left join n using (doc_id) left join sp using (doc_id) left joi
 """
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fixity.warc_records(read_table(spark, sf_dir, "pages"))
+    told = fixity.report(records, fixity.damaged(records))
+    return told.select(F.col("record_no").alias("page_id"), "archive", "lo", "hi", "record_sha256", "status")
+
+
+OP9_SQL = rf"""
+with r as (select page_id, page_id // {fixity.ARCHIVE_RECORDS} as archive,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+  || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') as record from pages),
+s as (select page_id, archive, strlen(record) + 4 as n, sha256(record) as h from r),
+o as (select *, sum(n) over w - n as lo, sum(n) over w as hi, sum((h[1:2] = '01')::int) over w as lost
+      from s window w as (partition by archive order by page_id))
+select page_id, archive, lo::bigint as lo, hi::bigint as hi, h as record_sha256,
+  case when h[1:2] = '01' then 'missing' when h[1:2] = '00' then 'corrupt' when lost > 0 then 'moved' else 'intact' end as status
+from o
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedupe(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -146,8 +167,10 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op9_warc_fixity": OP9_SQL,
     "op8_line_dedup": OP8_SQL,
     "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}
