@@ -117,7 +117,8 @@ def spans(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, *,
     at = table.select("template", F.posexplode("tg").alias("__tpos", "__tgram"))
     t1, t2 = content_keys(text_or_empty())
     texts = docs.select(text_or_empty().alias("__text"), t1.alias("__t1"), t2.alias("__t2"))
-    grams = with_grams(texts, license_words(F.col("__text"))).select("__t1", "__t2", F.posexplode("__g4").alias("__pos", "__gram"))
+    # outer: Spark would else filter on the array's size before it, and build the array once more for that
+    grams = with_grams(texts, license_words(F.col("__text"))).select("__t1", "__t2", F.posexplode_outer("__g4").alias("__pos", "__gram"))
     hits = grams.join(F.broadcast(at), F.col("__gram") == F.col("__tgram"))
     votes = (
         hits.select("__t1", "__t2", "template", (F.col("__pos") - F.col("__tpos")).alias("diagonal"), "__pos")
