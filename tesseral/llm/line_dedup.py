@@ -27,8 +27,9 @@ def _windows(docs: DataFrame) -> DataFrame:
         "__id",
         "__t1",
         "__t2",
-        F.explode(F.transform("__spots", lambda i: F.struct(i.alias("at"), *(F.get("__h", i + k).alias(f"l{k}") for k in range(WINDOW))))).alias("__w"),
+        F.explode_outer(F.transform("__spots", lambda i: F.struct(i.alias("at"), *(F.get("__h", i + k).alias(f"l{k}") for k in range(WINDOW))))).alias("__w"),
     )
+    each = each.where(F.col("__w").isNotNull())
     w1 = F.xxhash64(*(F.col(f"__w.l{k}.h0") for k in range(WINDOW)))
     w2 = F.xxhash64(*(F.col(f"__w.l{k}.h1") for k in range(WINDOW)))
     return each.select("__id", "__t1", "__t2", F.col("__w.at").alias("__at"), w1.alias("w1"), w2.alias("w2"))
