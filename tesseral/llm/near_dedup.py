@@ -22,8 +22,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Largest number of the 192 sketch bits in which candidates may differ. Pairs at similarity 0.8
-#: differ in 19 bits on average, with a deviation of 4.2: 45 is six deviations off.
-SKETCH_BITS = 45
+#: differ in 19 bits on average, with a deviation of 4.2: 38 is four and a half off.
+SKETCH_BITS = 38
+#: The same for the finer sketches of texts that are compared at last: at similarity 0.8 they differ
+#: in 205 of 2,048 bits with a deviation of 13.6; the limit is four and a half deviations off, at 0.74.
+FINE_REGISTERS, FINE_BITS = 2048, 266
 #: Words that a signature batch holds at most, besides one text.
 BATCH_SHINGLES = 2_000_000
 MAX_ROUNDS = 60
@@ -110,27 +113,40 @@ def _fold(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(nodes, hashes, offsets) of up to `texts` texts and BATCH_SHINGLES shingles at a time."""
+    node, column = batch.column(0), batch.column(1)
+    offsets, values = np.asarray(column.offsets), np.asarray(column.values)
+    start = 0
+    while start < len(node):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_SHINGLES)) - 1)
+        end = min(end, len(node), start + texts)
+        own = offsets[start : end + 1]
+        yield node.slice(start, end - start), values[own[0] : own[-1]].view(np.uint64), own - own[0]
+        start = end
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, values, offsets in _slices(batch, 512):
+            bits = (_mix(signatures(values, offsets, FINE_REGISTERS)) & np.uint64(1)).reshape(len(node), -1, 64)
+            packed = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32), packed.ravel())
+            yield pa.RecordBatch.from_arrays([node, lists], names=["node", "fine"])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(1)
-        offsets, values = np.asarray(column.offsets), np.asarray(column.values)
-        node = batch.column(0)
-        start = 0
-        while start < len(node):
-            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_SHINGLES)) - 1)
-            end = min(end, len(node), start + 4096)
-            own = offsets[start : end + 1]
-            sig = signatures(values[own[0] : own[-1]].view(np.uint64), own - own[0])
-            keys, packed = _fold(sig)
+        for node, values, offsets in _slices(batch, 4096):
+            keys, packed = _fold(signatures(values, offsets))
             yield pa.RecordBatch.from_arrays(
                 [
-                    node.slice(start, end - start),
+                    node,
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()),
                     *(pa.array(packed[:, i]) for i in range(packed.shape[1])),
                 ],
                 names=["node", "keys", "b0", "b1", "b2"],
             )
-            start = end
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -145,22 +161,54 @@ def representatives(docs: DataFrame) -> DataFrame:
     return keyed.join(firsts, ["__k0", "__k1"]).groupBy("__node").agg(F.min("rep").alias("rep"))
 
 
-def _close(a: str, b: str) -> Column:
-    return F.expr(" + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(3)) + f" <= {SKETCH_BITS}")
+def _may_link(similarity: float) -> Column:
+    """Whether rows x and y can be that similar: by what they can share, and by their sketches."""
+    most = F.least("x.c", "y.c")
+    close = F.expr(f"aggregate(zip_with(x.fine, y.fine, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k) <= {FINE_BITS}")
+    return (most >= F.lit(similarity) * (F.col("x.n") + F.col("y.n") - most)) & close
+
+
+def _split_buckets(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows, with their component, of the buckets that hold more than one component."""
+    owned = rows.join(comps.withColumnRenamed("__node", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = owned.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
+    return owned.join(split, ["band", "key"])
+
+
+def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(__node, s): the shingle sets of some texts, written down. All others' are never made."""
+    own = with_shingles(texts.join(nodes.distinct(), "__node", "left_semi"), F.col("__text"))
+    return settle(own.select("__node", F.array_distinct("__s").alias("s")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are that similar. Shingles are made only of texts in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
-    own = with_shingles(texts.join(wanted, "__node", "left_semi"), F.col("__text")).select("__node", F.array_distinct("__s").alias("s"))
-    own = settle(own)
-    both = pairs.join(own.select(F.col("__node").alias("a"), F.col("s").alias("sa")), "a").join(
-        own.select(F.col("__node").alias("b"), F.col("s").alias("sb")), "b"
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are that similar."""
+    both = pairs.join(sets.select(F.col("__node").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("__node").alias("b"), F.col("s").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("__node"))
+
+
+def _shareable(sets: DataFrame) -> DataFrame:
+    """(node, n, c): how many shingles a text has, and how many of them any other of these texts has
+    too. Two texts share at most the lesser c, which bounds their similarity from above."""
+    alone = (
+        sets.select("__node", F.explode_outer("s").alias("x"))
+        .groupBy("x")
+        .agg(F.count("*").alias("k"), F.min("__node").alias("__node"))
+        .where("k = 1")
+        .groupBy("__node")
+        .agg(F.count("*").alias("u"))
+    )
+    counted = sets.select("__node", F.size("s").alias("n")).join(alone, "__node", "left")
+    return counted.select(F.col("__node").alias("node"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(__node, comp): the smallest node of each connected component, for nodes with an edge.
     Alternating large-star and small-star steps; each step's edges are written to the shared folder."""
@@ -191,9 +239,11 @@ def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     their length; empty ones too.
 
     Equal word sequences are collapsed first. In each band's bucket every text is first compared with
-    the bucket's smallest only: a group of thousands of near copies costs its size, not its square.
-    The components so far are then taken into account: texts of one bucket that are still in
-    different components and whose sketches are close are compared with each other, so no link
+    one of them only, a different one in each band: a group of thousands of near copies costs its
+    size, not its square, and is joined up even where many of its pairs are not links.
+    Texts of one bucket that are then still in different components are compared further: if their
+    sketches are close and they share enough shingles with any others at all, first with the text of
+    the bucket that shares the most, at last all that are still apart with each other. So no link
     between different components that a bucket shows is lost.
     """
     texts = nodes_of(docs).select("__node", text_or_empty().alias("__text"))
@@ -203,26 +253,40 @@ def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     signed = with_shingles(distinct_texts, F.col("__text")).select("__node", "__s")
     signed = settle(signed.mapInArrow(_sign, "node long, keys array<long>, b0 long, b1 long, b2 long"))
     rows = signed.select("node", "b0", "b1", "b2", F.posexplode("keys").alias("band", "key"))
-    full = rows.groupBy("band", "key").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = settle(rows.join(full, ["band", "key"]))
+    lead = F.struct(F.xxhash64("node", "band").alias("h"), "node")
+    full = rows.groupBy("band", "key").agg(F.min(lead).alias("__lead"), F.count("*").alias("n")).where("n > 1")
+    rows = settle(rows.join(full.select("band", "key", F.col("__lead.node").alias("top")), ["band", "key"]))
     sketches = signed.select(F.col("node").alias("top"), *(F.col(f"b{i}").alias(f"t{i}") for i in range(3)))
     near = F.expr(" + ".join(f"bit_count(b{i} ^ t{i})" for i in range(3)) + f" <= {SKETCH_BITS}")
     stars = rows.where("node <> top").select("top", "node", "b0", "b1", "b2").distinct().join(sketches, "top").where(near)
-    stars = settle(stars.select(F.col("top").alias("a"), F.col("node").alias("b")))
-    links = settle(_verified(stars, distinct_texts, similarity))
+    stars = settle(stars.select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct())
+    links = settle(_verified(stars, _sets(distinct_texts, _ends(stars)), similarity))
     comps = settle(components(links))
 
     # what the stars have left: bucket mates in different components
-    owned = rows.drop("top").join(comps.withColumnRenamed("__node", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = owned.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    left = settle(owned.join(split, ["band", "key"]))
-    x, y = left.alias("x"), left.alias("y")
-    mates = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _close("x", "y"))
-    rest = settle(mates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    rest = settle(rest.join(stars, ["a", "b"], "left_anti"))
-    more = settle(_verified(rest, distinct_texts, similarity)) if rest.limit(1).count() else links.limit(0)
-    if more.limit(1).count():
-        comps = settle(components(links.union(more)))
+    left = settle(_split_buckets(rows.drop("top"), comps))
+    sets = _sets(distinct_texts, left.select(F.col("node").alias("__node")))
+    able = settle(_shareable(sets)).where(F.col("c") >= F.lit(similarity) * F.col("n"))
+    fine = sets.select("__node", "s").mapInArrow(_sketch, "node long, fine array<long>")
+    left = settle(left.drop("b0", "b1", "b2").join(settle(able.join(fine, "node")), "node"))
+    # first with the text of each bucket that shares the most: near copies of one text meet there
+    hub = left.groupBy("band", "key").agg(F.max(F.struct(F.col("c") / F.col("n"), "node", "comp", "n", "c", "fine")).alias("h"))
+    hubs = hub.select("band", "key", "h.node", "h.comp", "h.n", "h.c", "h.fine")
+    seen, more = stars, links
+    for others in (hubs, None):
+        x = left.alias("x")
+        y = (others if others is not None else left).alias("y")
+        apart = F.col("x.comp") != F.col("y.comp") if others is not None else F.col("x.comp") < F.col("y.comp")
+        mates = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & _may_link(similarity))
+        pairs = mates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = settle(pairs.join(seen, ["a", "b"], "left_anti"))
+        found = settle(_verified(pairs, sets, similarity))
+        if found.limit(1).count():
+            more = more.union(found)
+            comps = settle(components(more))
+        if others is not None:
+            seen = seen.union(pairs)
+            left = settle(_split_buckets(left.drop("comp"), comps))
     classes = reps.join(comps.withColumnRenamed("__node", "rep"), "rep", "left")
     return classes.select("__node", F.coalesce("comp", "rep").alias("class_id"))
 
