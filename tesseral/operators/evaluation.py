@@ -21,6 +21,11 @@ def missing_tags(prompt) -> F.Column:
     return F.filter(F.array(*map(F.lit, REQUIRED_TAGS)), lambda t: ~F.contains(prompt, t))
 
 
+def tagged(prompt) -> F.Column:
+    """The prompt with the leading tag, put before it where it is not there."""
+    return F.when(F.startswith(prompt, F.lit(REQUIRED_TAGS[0])), prompt).otherwise(F.concat(F.lit(REQUIRED_TAGS[0] + " "), prompt))
+
+
 def prompt_errors(prompts: DataFrame) -> DataFrame:
     """(id, error) of prompts with a null field, a missing tag or a repeated id."""
     null = F.col("id").isNull() | F.col("prompt").isNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +60,10 @@ def ordered_reasons(*lists: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(*lists)), "; ")
 
 
-def seeded_sample(rows: DataFrame, ident: str, k: int, seed: str | int) -> DataFrame:
-    """A sample of k rows without replacement, in seeded order; a bounded top-k, no full sort."""
+def seeded_sample(rows: DataFrame, ident: str, k: int, seed: str | int | None = None) -> DataFrame:
+    """A sample of k rows without replacement, in seeded order; a bounded top-k, no full sort.
+    Without a seed one is drawn."""
+    seed = random.SystemRandom().getrandbits(63) if seed is None else seed
     if k < 0:
         raise ValueError("the sample size must not be negative")
     return rows.orderBy(seeded_key(seed, F.col(ident)), ident).limit(k)
