@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.working import settle, shared_dir
+
+__all__ = ["BLOCK", "SPACE", "SPACE_CHARS", "content_keys", "fold", "has_word", "paired", "partitions", "read_table", "settle", "shared_dir", "text_or_empty", "words_of"]
+
 #: Characters that separate words wherever a contract speaks of white space.
 SPACE = r"[\x20\x09-\x0D]"
 BLOCK = 128
@@ -68,27 +69,3 @@ def fold(items: Column, kind: str, start: Column, step: Callable[[Column, Column
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset on a
-    local master, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _local_dir()
-    return found.rstrip("/")
-
-
-@functools.cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="tesseral-")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: later steps start from files that
-    outlive any executor, and nothing above is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/tesseral-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
