@@ -173,9 +173,9 @@ def judge(
             "\n",
         )
     )
-    # one sum, not two conditions: a filter on it cannot be taken apart and pushed to where the
-    # figures of the text would be computed a second time
-    kept = F.col("base_failed").cast("int") + depleted.cast("int") == 0
+    # one sum of null-tolerant terms: a filter on it can neither be taken apart nor imply a filter on
+    # its terms, which Spark would push down to where their whole expressions are computed again
+    kept = F.coalesce(F.col("base_failed").cast("int"), F.lit(0)) + F.coalesce(depleted.cast("int"), F.lit(0)) == 0
     return joined.select(*own, *added[:7], kept.alias("kept"), clean.alias("clean_text"))
 
 
