@@ -15,7 +15,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A line is common on a host when at least this many of the host's distinct documents have it and
 #: they are more than this percentage of them.
-COMMON_DOCS, COMMON_PERCENT = 30, 5
+COMMON_DOCS, COMMON_PERCENT = 30, 10
 #: A document is depleted when its common lines hold more than this percentage of its words.
 DEPLETED_PERCENT = 80
 
