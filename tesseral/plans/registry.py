@@ -471,11 +471,11 @@ def holm(spark, sf_dir):
 
 @query(
     """with e as (select vec_id // 4 as grp, (vec_id % 4)::int as p, embedding::double[] as v from embeddings)
-select a.grp, a.p as a, b.p as b, round(list_cosine_similarity(a.v, b.v), 4) as similarity from e a join e b on a.grp = b.grp and a.p < b.p"""
+select a.grp, a.p as a, b.p as b, round(list_cosine_similarity(a.v, b.v), 4) + 0.0 as similarity from e a join e b on a.grp = b.grp and a.p < b.p"""
 )
 def cosine_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("grp"), F.expr("cast(vec_id % 4 as int)").alias("p"), "embedding")
-    return metrics.tile_pairs(rows, "grp", "p", "embedding").select("grp", "a", "b", F.round("similarity", 4).alias("similarity"))
+    return metrics.tile_pairs(rows, "grp", "p", "embedding").select("grp", "a", "b", (F.round("similarity", 4) + 0.0).alias("similarity"))
 
 
 @query("select event_type, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
