@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, content_keys, has_word, text_or_empty
+from .common import SPACE_CHARS, content_keys, settle, text_or_empty
 
 WINDOW = 3
+#: White space that does not end a line.
+IN_LINE = r"[\x20\x09\x0B-\x0D]+"
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """(__id, __t1, __t2, __at, w1, w2): each window's first line, counted among the lines with a
     word, and the window's hash. Lines compare in lower case with white space collapsed."""
     t1, t2 = content_keys(text_or_empty())
-    lines = F.filter(F.split(text_or_empty(), "\n"), has_word)
-    hashed = docs.select(F.col("doc_id").alias("__id"), t1.alias("__t1"), t2.alias("__t2"), lines.alias("__lines"))
-    norm = F.transform("__lines", lambda line: F.trim(F.regexp_replace(F.lower(line), f"{SPACE}+", " ")))
-    hashed = hashed.select("__id", "__t1", "__t2", F.transform(norm, lambda line: F.struct(*(c.alias(f"h{i}") for i, c in enumerate(content_keys(line))))).alias("__h"))
+    # white space within lines is collapsed over the whole text at once, before it is split
+    norm = F.transform(F.split(F.regexp_replace(F.lower(text_or_empty()), IN_LINE, " "), "\n"), lambda line: F.trim(line))
+    hashed = docs.select(F.col("doc_id").alias("__id"), t1.alias("__t1"), t2.alias("__t2"), F.filter(norm, lambda line: line != "").alias("__lines"))
+    hashed = hashed.select("__id", "__t1", "__t2", F.transform("__lines", lambda line: F.struct(*(c.alias(f"h{i}") for i, c in enumerate(content_keys(line))))).alias("__h"))
     spots = F.when(F.size("__h") >= WINDOW, F.sequence(F.lit(0), F.size("__h") - WINDOW)).otherwise(F.array().cast("array<int>"))
     each = hashed.select("__id", "__t1", "__t2", "__h", spots.alias("__spots")).select(
         "__id",
@@ -39,12 +41,12 @@ def covered(docs: DataFrame) -> DataFrame:
     """(__id, __t1, __t2, __places): the starts of the windows of each document that occur earlier.
     Occurrences are in order of doc_id (nulls last), text hash and place. First occurrences are
     combined within tasks before the shuffle; the windows then join only those that repeat."""
-    windows = _windows(docs)
+    windows = settle(_windows(docs))
     place = F.struct(F.col("__id").isNull().alias("n"), "__id", "__t1", "__t2", "__at")
     repeated = (
         windows.groupBy("w1", "w2")
-        .agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
-        .where(F.col("__first") != F.col("__last"))
+        .agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
+        .where(F.col("__n") > 1)
         .select("w1", "w2", "__first")
     )
     later = windows.join(repeated, ["w1", "w2"]).where(place != F.col("__first"))
@@ -73,7 +75,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
     spans = F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("first"), (b + WINDOW - 1).alias("last")))
     listed = F.array_join(F.transform("__spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
     lines = F.split(text_or_empty(), "\n")
-    worded = F.filter(F.transform("__lines", lambda line, i: F.when(has_word(line), i)), lambda i: i.isNotNull())
+    solid = F.split(F.translate(text_or_empty(), SPACE_CHARS.replace("\n", ""), ""), "\n")
+    worded = F.filter(F.transform(solid, lambda line, i: F.when(line != "", i)), lambda i: i.isNotNull())
     gone = F.flatten(F.transform("__spans", lambda s: F.transform(F.sequence(s["first"], s["last"]), lambda n: F.get("__worded", n))))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     clean = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
