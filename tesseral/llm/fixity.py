@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import partitions, settle
 
 FANOUT = 16
 #: Records of an archive, by their number; the levels of its tree before its root.
@@ -103,12 +103,17 @@ def top_level(leaf: DataFrame) -> int:
     return level
 
 
+def _parts(df: DataFrame, level: int) -> int:
+    """Partitions for a level: a level has a FANOUT-th of the nodes below it."""
+    return max(1, partitions(df.sparkSession) // FANOUT**level)
+
+
 def tree(leaf: DataFrame, top: int) -> list[DataFrame]:
     """The levels of the Merkle tree over settled leaves, records first, the root last. Above the
     archives, lo and hi span the archives' own ranges."""
     levels = [_with_parent(leaf, 0)]
     for level in range(1, top + 1):
-        levels.append(settle(_above(levels[-1], level)))
+        levels.append(settle(_above(levels[-1], level).coalesce(_parts(leaf, level))))
     return levels
 
 
@@ -132,7 +137,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
             up = differs.select(F.col("archive").alias("parent_archive"), F.col("node").alias("parent_node"))
             x, y = (z.join(up, ["parent_archive", "parent_node"], "left_semi") for z in (x, y))
         pair = x.select(*key, F.col("digest").alias("__x")).join(y.select(*key, F.col("digest").alias("__y")), key, "full")
-        differs = settle(pair.where(~F.col("__x").eqNullSafe(F.col("__y"))).select(*key))
+        differs = settle(pair.where(~F.col("__x").eqNullSafe(F.col("__y"))).select(*key).coalesce(_parts(first, level)))
     mine, theirs = (z.join(differs, key, "left_semi") for z in (mine, theirs))
     other = theirs.select("archive", "record_no", "copy", *(F.col(c).alias(f"other_{c}") for c in ("lo", "hi", "record_sha256")))
     both = mine.select("archive", "record_no", "copy", "lo", "hi", "record_sha256").join(other, ["archive", "record_no", "copy"], "full")
