@@ -135,17 +135,42 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([node, lists], names=["node", "fine"])
 
 
+def _distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets with each text's repeated shingles left out."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    order = np.lexsort((values, owner))
+    v, o = values[order], owner[order]
+    first = np.ones(len(v), bool)
+    first[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return v[first], np.concatenate([[0], np.cumsum(np.bincount(o[first], minlength=n))])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands and sketch bits of the shingle sets, whose similarity decides on links; texts that repeat
+    shingles get the bands of their weighted signatures as well, which differ only there."""
     for batch in batches:
         for node, values, offsets in _slices(batch, 4096):
-            keys, packed = _fold(signatures(values, offsets))
+            once, ends = _distinct(values, offsets)
+            keys, packed = _fold(signatures(once, ends))
+            again = np.flatnonzero(np.diff(offsets) != np.diff(ends))
+            more = np.zeros_like(keys)
+            use = np.zeros(keys.shape, bool)
+            if len(again):
+                parts = [values[offsets[i] : offsets[i + 1]] for i in again]
+                more[again] = _fold(signatures(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))[0]
+                use[again] = more[again] != keys[again]
+            use = np.hstack([np.ones(keys.shape, bool), use])
+            places = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
+            bands = np.tile(np.arange(BANDS, dtype=np.int32), (len(keys), 2))
             yield pa.RecordBatch.from_arrays(
                 [
                     node,
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()),
+                    pa.ListArray.from_arrays(places, np.hstack([keys, more])[use]),
+                    pa.ListArray.from_arrays(places, bands[use]),
                     *(pa.array(packed[:, i]) for i in range(packed.shape[1])),
                 ],
-                names=["node", "keys", "b0", "b1", "b2"],
+                names=["node", "keys", "bands", "b0", "b1", "b2"],
             )
 
 
@@ -251,8 +276,9 @@ def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     firsts = reps.select("rep").distinct().withColumnRenamed("rep", "__node")
     distinct_texts = texts.where(has_word(F.col("__text"))).join(firsts, "__node", "left_semi")
     signed = with_shingles(distinct_texts, F.col("__text")).select("__node", "__s")
-    signed = settle(signed.mapInArrow(_sign, "node long, keys array<long>, b0 long, b1 long, b2 long"))
-    rows = signed.select("node", "b0", "b1", "b2", F.posexplode("keys").alias("band", "key"))
+    signed = settle(signed.mapInArrow(_sign, "node long, keys array<long>, bands array<int>, b0 long, b1 long, b2 long"))
+    rows = signed.select("node", "b0", "b1", "b2", F.explode(F.arrays_zip(F.col("bands").alias("band"), F.col("keys").alias("key"))).alias("k"))
+    rows = rows.select("node", "b0", "b1", "b2", "k.band", "k.key")
     lead = F.struct(F.xxhash64("node", "band").alias("h"), "node")
     full = rows.groupBy("band", "key").agg(F.min(lead).alias("__lead"), F.count("*").alias("n")).where("n > 1")
     rows = settle(rows.join(full.select("band", "key", F.col("__lead.node").alias("top")), ["band", "key"]))

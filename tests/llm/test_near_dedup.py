@@ -104,3 +104,13 @@ def test_weights_count():
 def test_empty_texts_have_empty_signatures():
     sig = near_dedup.signatures(np.array([7], np.uint64), np.array([0, 0, 1, 1]), 8)
     assert sig.tolist() == [[0] * 8, [7] * 8, [0] * 8]
+
+
+def test_a_passage_repeated_in_one_copy_only(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+        rows += [(2 * i, " ".join(words), ""), (2 * i + 1, " ".join(words[:90] * 100 + words[90:]), "")]
+    got = near_dedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(24)}
