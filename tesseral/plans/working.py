@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,47 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="tesseral-")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def new_path(spark: SparkSession, name: str = "") -> str:
+    """A new place in the shared folder for a table; it goes when the session's JVM ends, if not before."""
+    path = f"{shared_dir(spark)}/tesseral-{uuid.uuid4().hex}{name}"
+    files, at = _file_system(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: later steps start from files that
-    outlive any executor, and nothing above is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/tesseral-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    outlive any executor, and nothing above is computed twice. The table is there until the session's
+    JVM ends."""
+    path = new_path(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def working(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A `settle` for steps in between: its tables are deleted when the block ends, so whatever
+    leaves the block must not read them any more."""
+    paths = []
+
+    def put(df: DataFrame) -> DataFrame:
+        paths.append(new_path(spark))
+        df.write.mode("overwrite").parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield put
+    finally:
+        for path in paths:
+            remove(spark, path)
