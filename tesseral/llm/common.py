@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.working import settle, shared_dir
+from ..plans.working import new_path, remove, settle, shared_dir, working
 
-__all__ = ["BLOCK", "SPACE", "SPACE_CHARS", "content_keys", "fold", "has_word", "paired", "partitions", "read_table", "settle", "shared_dir", "text_or_empty", "words_of"]
+__all__ = [
+    "BLOCK", "SPACE", "SPACE_CHARS", "content_keys", "fold", "has_word", "new_path", "paired", "partitions", "read_table",
+    "remove", "settle", "shared_dir", "shielded", "text_or_empty", "words_of", "working",
+]
 
 #: Characters that separate words wherever a contract speaks of white space.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,6 +26,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Operators name their own working columns with two leading underscores. Columns of the input
+    that begin like that have other names while the operator runs, and their own in its result."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        away = {c: f"own{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(away), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

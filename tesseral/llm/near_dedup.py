@@ -8,27 +8,27 @@ similarity of the shingle sets decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_keys, has_word, paired, settle, text_or_empty, words_of
+from .common import content_keys, paired, settle, shielded, text_or_empty, words_of, working
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair meets in some band with probability 0.99994; at 0.2 with 0.002.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Largest number of the 192 sketch bits in which candidates may differ. Pairs at similarity 0.8
-#: differ in 19 bits on average, with a deviation of 4.2: 38 is four and a half off.
-SKETCH_BITS = 38
-#: The same for the finer sketches of texts that are compared at last: at similarity 0.8 they differ
-#: in 205 of 2,048 bits with a deviation of 13.6; the limit is four and a half deviations off, at 0.74.
-FINE_REGISTERS, FINE_BITS = 2048, 266
-#: Words that a signature batch holds at most, besides one text.
-BATCH_SHINGLES = 2_000_000
+#: Classes of shingles whose parities bound from below in how many shingles two sets differ.
+PARITIES = 2048
+#: Shingles that a signature batch holds at most, besides one text.
+BATCH_SHINGLES = 1_000_000
+#: Tables of up to this many rows (up to 32 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Far below what one shingle changes in a comparison of similarities, far above rounding.
+EPSILON = 1e-9
 MAX_ROUNDS = 60
 
 
@@ -102,39 +102,20 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     return value.reshape(n, registers)
 
 
-def _fold(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and one bit of each register packed into three numbers."""
-    keys = np.zeros((len(sig), BANDS), np.uint64)
-    parts = sig.reshape(len(sig), BANDS, ROWS)
-    for r in range(ROWS):
-        keys = _mix(keys * np.uint64(0x100000001B3) + parts[:, :, r])
-    bits = (_mix(sig) & np.uint64(1)).reshape(len(sig), REGISTERS // 64, 64)
-    packed = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-    return keys.view(np.int64), packed.view(np.int64)
-
-
-def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(nodes, hashes, offsets) of up to `texts` texts and BATCH_SHINGLES shingles at a time."""
-    node, column = batch.column(0), batch.column(1)
+def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, hashes, offsets) of up to `texts` texts and BATCH_SHINGLES shingles at a time; the
+    hashes are the batch's last column."""
+    column = batch.column(batch.num_columns - 1)
     offsets, values = np.asarray(column.offsets), np.asarray(column.values)
     start = 0
-    while start < len(node):
+    while start < len(column):
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_SHINGLES)) - 1)
-        end = min(end, len(node), start + texts)
+        end = min(end, len(column), start + texts)
         own = offsets[start : end + 1]
-        yield node.slice(start, end - start), values[own[0] : own[-1]].view(np.uint64), own - own[0]
+        yield slice(start, end), values[own[0] : own[-1]].view(np.uint64), own - own[0]
         start = end
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, values, offsets in _slices(batch, 512):
-            bits = (_mix(signatures(values, offsets, FINE_REGISTERS)) & np.uint64(1)).reshape(len(node), -1, 64)
-            packed = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32), packed.ravel())
-            yield pa.RecordBatch.from_arrays([node, lists], names=["node", "fine"])
-
-
 def _distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets with each text's repeated shingles left out."""
     n = len(offsets) - 1
@@ -146,96 +127,119 @@ def _distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return v[first], np.concatenate([[0], np.cumsum(np.bincount(o[first], minlength=n))])
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A number for each band of each signature, made from the band's place and registers."""
+    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
+    parts = sig.reshape(len(sig), BANDS, ROWS)
+    for r in range(ROWS):
+        keys = _mix(keys * np.uint64(0x100000001B3) + parts[:, :, r])
+    return keys.view(np.int64)
+
+
+def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, whether each of PARITIES classes holds an odd number of its distinct shingles,
+    packed into numbers. A shingle that only one of two texts has turns one class over, so two sets
+    differ in at least as many shingles as their parities in bits."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    classes = (_mix(values ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(PARITIES)).astype(np.int64)
+    odd = (np.bincount(owner * PARITIES + classes, minlength=n * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, PARITIES), axis=1).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands and sketch bits of the shingle sets, whose similarity decides on links; texts that repeat
-    shingles get the bands of their weighted signatures as well, which differ only there."""
+    """Band keys and parities of the shingle sets, whose similarity decides on links; texts that
+    repeat shingles get the keys of their weighted signatures as well, which differ only there."""
     for batch in batches:
-        for node, values, offsets in _slices(batch, 4096):
+        for rows, values, offsets in _slices(batch, 1024):
             once, ends = _distinct(values, offsets)
-            keys, packed = _fold(signatures(once, ends))
+            keys = band_keys(signatures(once, ends))
+            use = np.repeat((np.diff(ends) > 0)[:, None], BANDS, axis=1)
             again = np.flatnonzero(np.diff(offsets) != np.diff(ends))
             more = np.zeros_like(keys)
-            use = np.zeros(keys.shape, bool)
+            also = np.zeros_like(use)
             if len(again):
                 parts = [values[offsets[i] : offsets[i + 1]] for i in again]
-                more[again] = _fold(signatures(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))[0]
-                use[again] = more[again] != keys[again]
-            use = np.hstack([np.ones(keys.shape, bool), use])
+                more[again] = band_keys(signatures(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))
+                also[again] = more[again] != keys[again]
+            use = np.hstack([use, also])
             places = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
-            bands = np.tile(np.arange(BANDS, dtype=np.int32), (len(keys), 2))
+            odd = parities(once, ends)
             yield pa.RecordBatch.from_arrays(
                 [
-                    node,
+                    *(batch.column(i).slice(rows.start, rows.stop - rows.start) for i in range(3)),
+                    pa.array(np.diff(ends).astype(np.int32)),
                     pa.ListArray.from_arrays(places, np.hstack([keys, more])[use]),
-                    pa.ListArray.from_arrays(places, bands[use]),
-                    *(pa.array(packed[:, i]) for i in range(packed.shape[1])),
+                    pa.ListArray.from_arrays(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32), odd.ravel()),
                 ],
-                names=["node", "keys", "bands", "b0", "b1", "b2"],
+                names=["id", "k0", "k1", "n", "keys", "odd"],
             )
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """`docs` with __node: its doc_id, or for a null one a hash of its text."""
-    return docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())))
+def _identified(docs: DataFrame) -> DataFrame:
+    """(__id, __text): a null doc_id is replaced by a hash of the text, a null text is empty."""
+    return docs.select(_id().alias("__id"), text_or_empty().alias("__text"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """(__node, rep): every document and the smallest one with the same words in the same order."""
-    keyed = nodes_of(docs).select("__node", *(c.alias(f"__k{i}") for i, c in enumerate(content_keys(words_of(F.lower(text_or_empty()))))))
-    firsts = keyed.groupBy("__k0", "__k1").agg(F.min("__node").alias("rep"))
-    return keyed.join(firsts, ["__k0", "__k1"]).groupBy("__node").agg(F.min("rep").alias("rep"))
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
 
 
-def _may_link(similarity: float) -> Column:
-    """Whether rows x and y can be that similar: by what they can share, and by their sketches."""
-    most = F.least("x.c", "y.c")
-    close = F.expr(f"aggregate(zip_with(x.fine, y.fine, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k) <= {FINE_BITS}")
-    return (most >= F.lit(similarity) * (F.col("x.n") + F.col("y.n") - most)) & close
+def _keys(text: Column) -> tuple[Column, Column]:
+    return content_keys(words_of(F.lower(text)))
 
 
-def _split_buckets(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows, with their component, of the buckets that hold more than one component."""
-    owned = rows.join(comps.withColumnRenamed("__node", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = owned.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    return owned.join(split, ["band", "key"])
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(k0, k1, first, last, n, keys, odd): the distinct word sequences, by content key, with the
+    smallest and largest document of each, and what _sign finds. Rows are signed where they lie; copies are dropped
+    afterwards, within tasks first, so that no text moves."""
+    k0, k1 = _keys(F.col("__text"))
+    rows = with_shingles(_identified(docs).select("__id", k0.alias("k0"), k1.alias("k1"), "__text"), F.col("__text"))
+    signed = rows.select("__id", "k0", "k1", "__s").mapInArrow(_sign, "id long, k0 long, k1 long, n int, keys array<long>, odd array<long>")
+    return signed.groupBy("k0", "k1").agg(F.min("id").alias("first"), F.max("id").alias("last"), *(F.first(c).alias(c) for c in ("n", "keys", "odd")))
 
 
-def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(__node, s): the shingle sets of some texts, written down. All others' are never made."""
-    own = with_shingles(texts.join(nodes.distinct(), "__node", "left_semi"), F.col("__text"))
-    return settle(own.select("__node", F.array_distinct("__s").alias("s")))
+def _bounded(df: DataFrame) -> DataFrame:
+    """A settled table, marked for broadcast while it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are that similar."""
-    both = pairs.join(sets.select(F.col("__node").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("__node").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): the shingle sets of the texts that `wanted` (node, first, k0, k1; settled) names.
+    Words are cut only in rows whose document is asked for; repeated rows count once."""
+    found = _identified(docs).join(_bounded(wanted.withColumnRenamed("first", "__id")), "__id")
+    words = found.withColumn("__words", words_of(F.lower(F.col("__text"))))
+    k0, k1 = content_keys(F.col("__words"))
+    same = words.where((k0 == F.col("k0")) & (k1 == F.col("k1")))
+    own = with_shingles(same.select("node", "__text"), F.col("__text"))
+    return own.select("node", F.array_distinct("__s").alias("s")).dropDuplicates(["node"])
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("__node"))
+def _most_apart(similarity: float) -> float:
+    """Sets of that similarity differ in at most this part of the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity)
 
 
-def _shareable(sets: DataFrame) -> DataFrame:
-    """(node, n, c): how many shingles a text has, and how many of them any other of these texts has
-    too. Two texts share at most the lesser c, which bounds their similarity from above."""
-    alone = (
-        sets.select("__node", F.explode_outer("s").alias("x"))
-        .groupBy("x")
-        .agg(F.count("*").alias("k"), F.min("__node").alias("__node"))
-        .where("k = 1")
-        .groupBy("__node")
-        .agg(F.count("*").alias("u"))
-    )
-    counted = sets.select("__node", F.size("s").alias("n")).join(alone, "__node", "left")
-    return counted.select(F.col("__node").alias("node"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+def _may_link(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, apart) of the pairs that exact bounds allow: `apart` is the least part of both sets'
+    sizes in which they can differ, by their sizes and by their parities."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    bits = F.expr("aggregate(zip_with(odda, oddb, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)")
+    apart = F.greatest(bits, F.abs(F.col("na") - F.col("nb"))) / (F.col("na") + F.col("nb"))
+    return both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= _most_apart(similarity) + EPSILON)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(__node, comp): the smallest node of each connected component, for nodes with an edge.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are that similar."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared + EPSILON >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
+    """(node, comp): the smallest node of each connected component, for nodes with an edge (a, b).
     Alternating large-star and small-star steps; each step's edges are written to the shared folder."""
     edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
@@ -252,83 +256,125 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("__node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct()
 
 
-def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(__node, class_id): every document's class, named by its smallest document.
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends have different labels, with these as la and lb."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"l{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
 
-    A link joins two documents whose sets of five-word shingles (lower case, cut at white space) have
-    Jaccard similarity `similarity` or more, as far as some band of the signatures shows it. Classes
-    are the connected components of the links. Documents with the same words form one class whatever
-    their length; empty ones too.
-
-    Equal word sequences are collapsed first. In each band's bucket every text is first compared with
-    one of them only, a different one in each band: a group of thousands of near copies costs its
-    size, not its square, and is joined up even where many of its pairs are not links.
-    Texts of one bucket that are then still in different components are compared further: if their
-    sketches are close and they share enough shingles with any others at all, first with the text of
-    the bucket that shares the most, at last all that are still apart with each other. So no link
-    between different components that a bucket shows is lost.
-    """
-    texts = nodes_of(docs).select("__node", text_or_empty().alias("__text"))
-    reps = settle(representatives(docs))
-    firsts = reps.select("rep").distinct().withColumnRenamed("rep", "__node")
-    distinct_texts = texts.where(has_word(F.col("__text"))).join(firsts, "__node", "left_semi")
-    signed = with_shingles(distinct_texts, F.col("__text")).select("__node", "__s")
-    signed = settle(signed.mapInArrow(_sign, "node long, keys array<long>, bands array<int>, b0 long, b1 long, b2 long"))
-    rows = signed.select("node", "b0", "b1", "b2", F.explode(F.arrays_zip(F.col("bands").alias("band"), F.col("keys").alias("key"))).alias("k"))
-    rows = rows.select("node", "b0", "b1", "b2", "k.band", "k.key")
-    lead = F.struct(F.xxhash64("node", "band").alias("h"), "node")
-    full = rows.groupBy("band", "key").agg(F.min(lead).alias("__lead"), F.count("*").alias("n")).where("n > 1")
-    rows = settle(rows.join(full.select("band", "key", F.col("__lead.node").alias("top")), ["band", "key"]))
-    sketches = signed.select(F.col("node").alias("top"), *(F.col(f"b{i}").alias(f"t{i}") for i in range(3)))
-    near = F.expr(" + ".join(f"bit_count(b{i} ^ t{i})" for i in range(3)) + f" <= {SKETCH_BITS}")
-    stars = rows.where("node <> top").select("top", "node", "b0", "b1", "b2").distinct().join(sketches, "top").where(near)
-    stars = settle(stars.select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct())
-    links = settle(_verified(stars, _sets(distinct_texts, _ends(stars)), similarity))
-    comps = settle(components(links))
-
-    # what the stars have left: bucket mates in different components
-    left = settle(_split_buckets(rows.drop("top"), comps))
-    sets = _sets(distinct_texts, left.select(F.col("node").alias("__node")))
-    able = settle(_shareable(sets)).where(F.col("c") >= F.lit(similarity) * F.col("n"))
-    fine = sets.select("__node", "s").mapInArrow(_sketch, "node long, fine array<long>")
-    left = settle(left.drop("b0", "b1", "b2").join(settle(able.join(fine, "node")), "node"))
-    # first with the text of each bucket that shares the most: near copies of one text meet there
-    hub = left.groupBy("band", "key").agg(F.max(F.struct(F.col("c") / F.col("n"), "node", "comp", "n", "c", "fine")).alias("h"))
-    hubs = hub.select("band", "key", "h.node", "h.comp", "h.n", "h.c", "h.fine")
-    seen, more = stars, links
-    for others in (hubs, None):
-        x = left.alias("x")
-        y = (others if others is not None else left).alias("y")
-        apart = F.col("x.comp") != F.col("y.comp") if others is not None else F.col("x.comp") < F.col("y.comp")
-        mates = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & _may_link(similarity))
-        pairs = mates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = settle(pairs.join(seen, ["a", "b"], "left_anti"))
-        found = settle(_verified(pairs, sets, similarity))
+
+def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`labels` (node, comp) brought up to date by the links among the settled pairs (a, b, apart).
+    First each node's most promising pair is verified, then every pair that is still apart: so texts
+    of one large group are mostly compared once each, and no link between different components is
+    left out."""
+    side = lambda x, y: pairs.select(F.col(x).alias("x"), F.struct("apart", F.col(y).alias("y")).alias("o"))
+    best = side("a", "b").union(side("b", "a")).groupBy("x").agg(F.min("o").alias("o"))
+    best = best.select(F.least("x", "o.y").alias("a"), F.greatest("x", "o.y").alias("b")).distinct()
+    for wave in (best, pairs):
+        found = settle(_verified(_still_apart(wave, labels), sets, similarity))
         if found.limit(1).count():
-            more = more.union(found)
-            comps = settle(components(more))
-        if others is not None:
-            seen = seen.union(pairs)
-            left = settle(_split_buckets(left.drop("comp"), comps))
-    classes = reps.join(comps.withColumnRenamed("__node", "rep"), "rep", "left")
-    return classes.select("__node", F.coalesce("comp", "rep").alias("class_id"))
+            merged = components(_still_apart(found, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")), settle)
+            merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+            labels = settle(labels.join(merged, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")))
+    return labels
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, similarity: float, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) of all texts in different components that can be that similar: in a common order of
+    shingles, the rarest first, similar sets share one of their first n - ceil(similarity * n) + 1.
+    Shingles of a single text are passed over; the places of a shared one bound what follows it."""
+    each = sets.select("node", F.explode("s").alias("x"))
+    counts = each.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
+    shared = each.join(counts, "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("o"))
+    sized = sets.select("node", F.size("s").alias("n")).join(shared, "node").join(labels, "node")
+    lead = F.size("o") + 1 - F.ceil(F.lit(similarity) * F.col("n") - EPSILON).cast("int")
+    firsts = sized.where(lead > 0).select("node", "comp", "n", F.size("o").alias("c"), F.posexplode(F.slice("o", F.lit(1), lead)).alias("i", "e"))
+    firsts = settle(firsts.select("node", "comp", "n", "c", "i", F.col("e.x").alias("x")))
+    x, y = firsts.alias("x"), firsts.alias("y")
+    need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - EPSILON
+    most = F.least("x.i", "y.i") + 1 + F.least(F.col("x.c") - 1 - F.col("x.i"), F.col("y.c") - 1 - F.col("y.i"))
+    mates = x.join(y, (F.col("x.x") == F.col("y.x")) & (F.col("x.comp") < F.col("y.comp")) & (most >= need))
+    return mates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """(k0, k1, first, last, class_id, stays): every distinct text by its content key, with its smallest
+    and largest document, its class, which is named by the class's smallest document, and whether it
+    is the text that stays.
+
+    A link joins two texts whose sets of five-word shingles (lower case, cut at white space) have
+    Jaccard similarity `similarity` or more, as far as some band of the signatures shows it. Classes
+    are the connected components of the links. Texts with the same words are one text whatever their
+    length; so are empty ones.
+
+    In each bucket (of one band) every text is first compared with one of them only, a different one
+    in each bucket: a group of thousands of near copies costs its size, not its square, and is joined
+    up even where many of its pairs are not links. Texts of one bucket that are then still in different
+    components meet again by the rarest of their shingles, which loses none of their links and finds
+    some that no band has shown. Only exact bounds keep a pair from being verified.
+    """
+    with working(docs.sparkSession) as put:
+        texts = put(distinct_texts(docs).withColumn("node", F.monotonically_increasing_id()))
+        # the smallest node after a bucket's own permutation leads it
+        rows = texts.select("node", F.explode("keys").alias("key"))
+        leads = rows.groupBy("key").agg(F.expr("min(node ^ xxhash64(key))").alias("lead"), F.count("*").alias("many")).where("many > 1")
+        rows = put(rows.join(leads, "key").select("node", "key", F.expr("lead ^ xxhash64(key)").alias("top")))
+        nodes = rows.select("node").distinct()
+        sketches = put(texts.select("node", "n", "odd", "first", "k0", "k1").join(nodes, "node"))
+        sets = put(shingle_sets(docs, sketches.select("node", "first", "k0", "k1")))
+        labels = put(sketches.select("node", F.col("node").alias("comp")))
+        stars = rows.where("node <> top").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct()
+        labels = _linked(put(_may_link(stars, sketches, similarity)), sets, labels, similarity, put)
+
+        # what the stars have left: texts of buckets with more than one component
+        owned = rows.select("node", "key").join(labels, "node")
+        split = owned.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        left = put(owned.join(split, "key").select("node").distinct())
+        mates = _prefix_pairs(put(sets.join(left, "node")), labels, similarity, put)
+        labels = _linked(put(_may_link(mates, sketches, similarity)), sets, labels, similarity, put)
+
+        own = texts.select("node", "k0", "k1", "first", "last").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = own.groupBy("comp").agg(F.min("first").alias("class_id"))
+        tied = own.join(named, "comp").where(F.col("first") == F.col("class_id")).groupBy("comp").agg(F.min("node").alias("kept"), F.first("class_id").alias("class_id"))
+        return settle(own.join(tied, "comp").select("k0", "k1", "first", "last", "class_id", (F.col("node") == F.col("kept")).alias("stays")))
+
+
+@shielded
 def dedupe(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with class_id and kept: one row of each class stays, that of its smallest document.
+    """`docs` with class_id and kept: one document of each class stays, the smallest.
 
     Nulls: a null text is empty; a null doc_id is replaced by a hash of its text for class_id. Of
-    repeated rows (same doc_id) all get the same class_id and verdict. Empty table: empty result.
-    Input columns named class_id or kept are replaced; others are carried along.
+    repeated rows (same doc_id and words) all get the same class_id and verdict; rows with one doc_id
+    but different words are judged each by its own text. Ties of classes on their smallest doc_id are
+    settled by text, so one text stays. Empty table: empty result. Input columns named class_id or
+    kept are replaced; others are carried along.
     """
     docs = docs.drop("class_id", "kept")
-    found = nodes_of(docs).join(cluster(docs, similarity=similarity), "__node", "left")
-    return found.select(*docs.columns, "class_id", (F.col("__node") == F.col("class_id")).alias("kept"))
+    rows = _with_keys(docs)
+    found = cluster(docs, similarity=similarity).select(F.col("k0").alias("__c0"), F.col("k1").alias("__c1"), F.col("class_id").alias("__class"), "stays")
+    found = found.withColumnRenamed("stays", "__stays")
+    joined = rows.join(found, (F.col("__k0") == F.col("__c0")) & (F.col("__k1") == F.col("__c1")))
+    kept = F.col("__stays") & (F.col("__id") == F.col("__class"))
+    return joined.select(*docs.columns, F.col("__class").alias("class_id"), kept.alias("kept"))
+
+
+def _with_keys(docs: DataFrame) -> DataFrame:
+    k0, k1 = _keys(text_or_empty())
+    return docs.select("*", _id().alias("__id"), k0.alias("__k0"), k1.alias("__k1"))
 
 
+@shielded
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    own = [c for c in docs.columns if c not in ("class_id", "kept")]
-    return dedupe(docs, **options).where("kept").select(*own)
+    """The rows of `docs` that `dedupe` keeps, with their own columns; the same cases have the same
+    results. Only the keys of what goes are joined, so rows move only if these are too many to
+    broadcast."""
+    found = cluster(docs, **options)
+    # of the text that stays, other documents go
+    but = F.when(F.col("stays"), F.col("first"))
+    goes = found.where(~F.col("stays") | (F.col("first") < F.col("last")))
+    goes = _bounded(settle(goes.select(F.col("k0").alias("__c0"), F.col("k1").alias("__c1"), but.alias("__but"))))
+    gone = (F.col("__k0") == F.col("__c0")) & (F.col("__k1") == F.col("__c1")) & ~F.col("__id").eqNullSafe(F.col("__but"))
+    return _with_keys(docs).join(goes, gone, "left_anti").select(*docs.columns)
