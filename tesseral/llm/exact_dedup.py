@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, partitions, text_or_empty
+from .common import SPACE, partitions, shielded, text_or_empty
 
 #: Code points of the normalised text that the splitters see before its digest. Splitters are
 #: sampled onto the driver, so they must not hold whole texts.
@@ -24,6 +24,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", " ")
 
 
+@shielded
 def dedupe(docs: DataFrame, *, hot_copies: int = HOT_COPIES) -> DataFrame:
     """`docs` with keep_id, group_size, kept and text_sha256 added.
 
@@ -75,6 +76,7 @@ def dedupe(docs: DataFrame, *, hot_copies: int = HOT_COPIES) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with their own columns."""
+    """The rows of `docs` that stay, with their own columns. Nulls, ties, repeated rows and empty
+    tables: as in `dedupe`."""
     own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     return dedupe(docs, **options).where("kept").select(*own)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import content_keys, fold, paired, settle, text_or_empty
+from .common import content_keys, fold, paired, settle, shielded, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -158,6 +158,7 @@ def phrase_places(joined: Column, phrase: str) -> Column:
     return F.when(F.contains(joined, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
 
+@shielded
 def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, *, coverage: float = COVERAGE) -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score and
     license_spans added.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, content_keys, settle, text_or_empty
+from .common import SPACE_CHARS, content_keys, settle, shielded, text_or_empty
 
 WINDOW = 3
 #: White space that does not end a line.
@@ -53,6 +53,7 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy("__id", "__t1", "__t2").agg(F.array_sort(F.collect_set("__at")).alias("__places"))
 
 
+@shielded
 def dedupe(docs: DataFrame) -> DataFrame:
     """`docs` with n_lines (lines with a word), n_removed, removed_spans (first-last, counted among
     those lines, joined by commas) and clean_text, without the lines that later occurrences of a

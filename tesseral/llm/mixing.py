@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import settle, shielded, text_or_empty
 
 #: Exponent of the default weights: a source's weight is its size to this power.
 SMOOTHING = 0.5
@@ -69,6 +69,7 @@ def cumulated(rate: Column) -> Column:
     )
 
 
+@shielded
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,

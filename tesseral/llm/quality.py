@@ -1,7 +1,9 @@
 """Quality rules with cross-document line frequency.
 
 Normalised lines are hashed, distinct documents are counted for each line and host, lines above the
-limits are removed, and documents that lose too much are rejected.
+limits are removed, and documents that lose too much are rejected. A family of near copies repeats
+its lines in the same setting, a boilerplate line stands in many: so the settings must be above the
+limits, too.
 """
 
 from __future__ import annotations
@@ -9,19 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, content_keys, has_word, paired, text_or_empty, words_of
+from .common import SPACE_CHARS, content_keys, has_word, paired, settle, shielded, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A line is common on a host when at least this many of the host's distinct documents have it and
-#: they are more than this percentage of them.
-COMMON_DOCS, COMMON_PERCENT = 30, 10
+#: they are more than this percentage of them, and the same holds for its settings.
+COMMON_DOCS, COMMON_PERCENT = 5, 5
 #: A document is depleted when its common lines hold more than this percentage of its words.
 DEPLETED_PERCENT = 80
 
 
-def normalised_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), f"{SPACE}+", " "))
+#: White space that does not end a line.
+IN_LINE = r"[\x20\x09\x0B-\x0D]+"
+#: Tables of common lines of up to this many (16 bytes each) are broadcast to the rows.
+BROADCAST_LINES = 1_000_000
+LINES = "array<struct<l1:bigint,l2:bigint>>"
+
+
+def normalised_lines(text: Column) -> Column:
+    """All lines in order, in lower case, white space collapsed; those without a word are empty."""
+    return F.transform(F.split(F.regexp_replace(F.lower(text), IN_LINE, " "), "\n"), lambda line: F.trim(line))
+
+
+def _line_key(line: Column) -> Column:
+    return F.struct(*(k.alias(f"l{i}") for i, k in enumerate(content_keys(line), 1)))
 
 
 def window_hashes(words: Column) -> dict[str, Column]:
@@ -80,56 +94,55 @@ def _stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(docs: DataFrame, *, host: str = "source", min_docs: int = COMMON_DOCS, percent: float = COMMON_PERCENT) -> DataFrame:
-    """(__host, __l1, __l2, n_docs) of the lines that are common on a host. Documents with equal
-    text count once, so copies of one document do not make its lines common."""
-    text = text_or_empty()
-    t1, t2 = content_keys(text)
-    texts = docs.select(F.col(host).alias("__host"), t1.alias("__t1"), t2.alias("__t2"), text.alias("__text"))
-    sizes = texts.select("__host", "__t1", "__t2").distinct().groupBy("__host").agg(F.count("*").alias("n_host"))
-    l1, l2 = content_keys(normalised_line(F.col("line")))
-    lines = texts.select("__host", "__t1", "__t2", F.explode(F.split("__text", "\n")).alias("line")).where(has_word(F.col("line")))
-    counted = (
-        lines.select("__host", l1.alias("__l1"), l2.alias("__l2"), "__t1", "__t2")
-        .distinct()
-        .groupBy("__host", "__l1", "__l2")
-        .agg(F.count("*").alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs)
-    )
-    sized = sizes.select(F.col("__host").alias("__h"), "n_host")
-    return (
-        counted.join(sized, F.col("__host").eqNullSafe(F.col("__h")))
-        .where(100 * F.col("n_docs") > percent * F.col("n_host"))
-        .select("__host", "__l1", "__l2", "n_docs")
-    )
+def _by_host(lines: DataFrame) -> DataFrame:
+    """(__h, __common): the lines of each host as one array, broadcast while all of them are few. A
+    common line needs a share `percent` of its host's documents, so a host has at most
+    100 / percent times as many as its documents have lines on average."""
+    lines = settle(lines.select(F.col("__host").alias("__h"), "__l1", "__l2"))
+    found = lines.groupBy("__h").agg(F.collect_list(F.struct(F.col("__l1").alias("l1"), F.col("__l2").alias("l2"))).alias("__common"))
+    return F.broadcast(found) if lines.count() <= BROADCAST_LINES else found
 
 
-def _lost(docs: DataFrame, common: DataFrame, host: str) -> DataFrame:
-    """(__host, __t1, __t2, n_common_words, __gone) of each text of a host that has common lines;
-    __gone lists the places of those lines among the text's lines."""
-    text = text_or_empty()
-    t1, t2 = content_keys(text)
-    texts = docs.select(F.col(host).alias("__host"), t1.alias("__t1"), t2.alias("__t2"), text.alias("__text"))
-    l1, l2 = content_keys(normalised_line(F.col("line")))
-    lines = (
-        texts.select("__host", "__t1", "__t2", F.posexplode(F.split("__text", "\n")).alias("__at", "line"))
-        .where(has_word(F.col("line")))
-        .select("__host", "__t1", "__t2", "__at", l1.alias("__l1"), l2.alias("__l2"), F.size(words_of(F.col("line"))).alias("__n"))
-    )
-    wanted = common.select(F.col("__host").alias("__h"), F.col("__l1").alias("__m1"), F.col("__l2").alias("__m2"))
-    hit = lines.join(
-        wanted,
-        (F.col("__l1") == F.col("__m1")) & (F.col("__l2") == F.col("__m2")) & F.col("__host").eqNullSafe(F.col("__h")),
-        "left_semi",
-    )
-    return (
-        hit.groupBy("__host", "__t1", "__t2", "__at")
-        .agg(F.first("__n").alias("__n"))
-        .groupBy("__host", "__t1", "__t2")
-        .agg(F.sum("__n").alias("n_common_words"), F.array_sort(F.collect_list("__at")).alias("__gone"))
+def _places(lines: str) -> Column:
+    """The places in an array of normalised lines whose line is one of __common."""
+    some = F.arrays_overlap(F.transform(lines, lambda x: F.xxhash64(x)), F.col("__common.l1"))
+    each = F.transform(lines, lambda x, i: F.when(F.array_contains("__common", _line_key(x)), i))
+    return F.when(some, F.filter(each, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+
+
+def common_lines(docs: DataFrame, *, host: str = "source", min_docs: int = COMMON_DOCS, percent: float = COMMON_PERCENT) -> DataFrame:
+    """(__host, __l1, __l2, n_docs) of the lines that are common on a host: so are the distinct
+    documents that have them, and the settings (lines with a word before and after) in which they
+    stand. Documents with equal text count once. Counts are combined before the shuffle; settings are
+    looked at only for lines that the documents leave."""
+    t1, t2 = content_keys(text_or_empty())
+    texts = docs.select(F.col(host).alias("__host"), t1.alias("__t1"), t2.alias("__t2"), F.filter(normalised_lines(text_or_empty()), lambda x: x != "").alias("__lines"))
+    sizes = texts.select("__host", "__t1", "__t2").distinct().groupBy("__host").agg(F.count("*").alias("n_host"))
+    sizes = settle(sizes.select(F.col("__host").alias("__h"), "n_host"))
+
+    def above(counted: DataFrame) -> DataFrame:
+        sized = counted.where(F.col("n") >= min_docs).join(sizes, F.col("__host").eqNullSafe(F.col("__h")))
+        return sized.where(100 * F.col("n") > percent * F.col("n_host")).select("__host", "__l1", "__l2", "n")
+
+    # outer: Spark would else filter on the array's size before it, and build the array once more for that
+    each = texts.select("__host", "__t1", "__t2", F.explode_outer(F.array_distinct("__lines")).alias("line")).where(F.col("line").isNotNull())
+    l1, l2 = content_keys(F.col("line"))
+    documents = each.select("__host", l1.alias("__l1"), l2.alias("__l2"), "__t1", "__t2").distinct().groupBy("__host", "__l1", "__l2").agg(F.count("*").alias("n"))
+    able = settle(above(documents))
+    beside = texts.join(_by_host(able), F.col("__host").eqNullSafe(F.col("__h"))).withColumn("__at", _places("__lines"))
+    setting = lambda i: F.struct(
+        _line_key(F.get("__lines", i)).alias("line"),
+        *(k.alias(f"s{j}") for j, k in enumerate(content_keys(*(F.coalesce(F.get("__lines", i + d), F.lit("")) for d in (-1, 1))))),
     )
+    stands = beside.where(F.size("__at") > 0).select("__host", F.explode(F.transform("__at", setting)).alias("s"))
+    stands = stands.select("__host", F.col("s.line.l1").alias("__l1"), F.col("s.line.l2").alias("__l2"), "s.s0", "s.s1")
+    settings = stands.distinct().groupBy("__host", "__l1", "__l2").agg(F.count("*").alias("n"))
+    varied = above(settings).select(F.col("__host").alias("__g"), F.col("__l1").alias("__m1"), F.col("__l2").alias("__m2"))
+    same = (F.col("__l1") == F.col("__m1")) & (F.col("__l2") == F.col("__m2")) & F.col("__host").eqNullSafe(F.col("__g"))
+    return able.join(varied, same, "left_semi").withColumnRenamed("n", "n_docs")
 
 
+@shielded
 def judge(
     docs: DataFrame,
     *,
@@ -141,10 +154,10 @@ def judge(
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_common_words, kept and clean_text (the text without the common lines of its host) added.
 
-    Two passes over the texts: lines are counted by (host, line hash) over distinct texts, combined
-    before the shuffle; then each row joins what its own text has lost on its host. A hot host, line
-    or text is a key of a pre-aggregated count or of a join that adaptive execution may split.
-    Few lines can be common: each needs a fixed share of its host's documents.
+    Lines are counted by (host, line hash); then each row looks its own lines up in the array of
+    its host's common lines, so no text is shuffled. A hot host, line or text is only a key of
+    counts that are combined before the shuffle. Should the common lines of all hosts be too many to
+    broadcast, rows join their host's by a shuffle that adaptive execution splits where it is skewed.
 
     Nulls: a null text has no words and fails; a null host is a host of its own; doc_id is not
     looked at, so repeated rows get equal verdicts. Empty table: empty result. Input columns named
@@ -153,25 +166,15 @@ def judge(
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept", "clean_text"]
     docs = docs.drop(*added)
     own = docs.columns
-    lost = _lost(docs, common_lines(docs, host=host, min_docs=min_docs, percent=percent), host)
-    lost = lost.select(
-        F.col("__host").alias("__h"), F.col("__t1").alias("__m1"), F.col("__t2").alias("__m2"), "n_common_words", "__gone"
-    )
-    text = text_or_empty()
-    t1, t2 = content_keys(text)
-    rows = docs.select("*", text.alias("__text"), t1.alias("__t1"), t2.alias("__t2"))
-    rows = _stats(rows)
-    joined = rows.join(
-        lost,
-        (F.col("__t1") == F.col("__m1")) & (F.col("__t2") == F.col("__m2")) & F.col(host).eqNullSafe(F.col("__h")),
-        "left",
-    ).withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
+    common = _by_host(common_lines(docs, host=host, min_docs=min_docs, percent=percent))
+    rows = _stats(docs.select("*", text_or_empty().alias("__text")))
+    joined = rows.join(common, F.col(host).eqNullSafe(F.col("__h")), "left").withColumn("__common", F.coalesce("__common", F.array().cast(LINES)))
+    joined = joined.withColumn("__lines", normalised_lines(F.col("__text"))).withColumn("__gone", _places("__lines")).drop("__common")
+    lost = F.aggregate(F.transform("__gone", lambda i: F.size(words_of(F.get("__lines", i)))), F.lit(0), lambda a, n: a + n)
+    joined = joined.withColumn("n_common_words", lost.cast("long"))
     depleted = 100 * F.col("n_common_words") > depleted_percent * F.col("n_words")
-    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
-        F.array_join(
-            F.filter(F.split("__text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i)),
-            "\n",
-        )
+    clean = F.when(F.size("__gone") == 0, F.col("text")).otherwise(
+        F.array_join(F.filter(F.split("__text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
     )
     # one sum of null-tolerant terms: a filter on it can neither be taken apart nor imply a filter on
     # its terms, which Spark would push down to where their whole expressions are computed again
@@ -179,9 +182,10 @@ def judge(
     return joined.select(*own, *added[:7], kept.alias("kept"), clean.alias("clean_text"))
 
 
+@shielded
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The columns of `docs` for the rows that stay, their common lines removed; n_chars, if there,
-    is brought up to date."""
+    is brought up to date. Nulls, ties, repeated rows and empty tables: as in `judge`."""
     good = judge(docs, **options).where("kept")
     out = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:

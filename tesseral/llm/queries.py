@@ -17,7 +17,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words",
+        F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"),
     )
 
 
@@ -27,26 +28,31 @@ w as (select doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-
 win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from w, unnest(range(1, len(ws) - 6)) as u(i)),
 rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) >= 2),
 cov as (select doc_id, count(distinct i + k) as n from rep, unnest(range(0, 8)) as v(k) group by 1),
-ln as (select doc_id, source, t, unnest(string_split(t, chr(10))) as line from d),
-lw as (select doc_id, source, t, line,
+ln as (select doc_id, source, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d),
+lw as (select *, lag(norm, 1, '') over (partition by doc_id order by i) as pv, lead(norm, 1, '') over (partition by doc_id order by i) as nx
+       from (select doc_id, source, t, line, i,
          trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm,
          len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n
-       from ln where regexp_matches(line, '[^\x20\x09-\x0D]')),
+       from ln where regexp_matches(line, '[^\x20\x09-\x0D]'))),
 dup as (select doc_id, count(*) - count(distinct line) as n from lw group by 1),
 host as (select source, count(distinct t) as n from d group by 1),
 com as (select lw.source, norm from lw join host on lw.source is not distinct from host.source
         group by lw.source, norm, host.n
-        having count(distinct lw.t) >= {quality.COMMON_DOCS} and 100 * count(distinct lw.t) > {quality.COMMON_PERCENT} * host.n),
-lost as (select doc_id, sum(n) as n from lw join com on lw.source is not distinct from com.source and lw.norm = com.norm group by 1),
+        having least(count(distinct lw.t), count(distinct (pv, nx))) >= {quality.COMMON_DOCS}
+          and 100 * least(count(distinct lw.t), count(distinct (pv, nx))) > {quality.COMMON_PERCENT} * host.n),
+hit as (select doc_id, i, n from lw join com on lw.source is not distinct from com.source and lw.norm = com.norm),
+lost as (select doc_id, sum(n) as n from hit group by 1),
+clean as (select ln.doc_id, coalesce(string_agg(line, chr(10) order by ln.i) filter (hit.doc_id is null), '') as t
+          from ln left join hit on ln.doc_id = hit.doc_id and ln.i = hit.i group by 1),
 f as (select w.doc_id, len(ws)::bigint as n_words,
-        length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
-        len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+        length(regexp_replace(w.t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+        len(regexp_extract_all(w.t, '[#*$%&|<>]'))::bigint as n_symbols,
         coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words,
-        coalesce(lost.n, 0)::bigint as n_common_words
-      from w left join cov using (doc_id) left join dup using (doc_id) left join lost using (doc_id)),
+        coalesce(lost.n, 0)::bigint as n_common_words, sha256(clean.t) as clean_sha256
+      from w left join cov using (doc_id) left join dup using (doc_id) left join lost using (doc_id) left join clean using (doc_id)),
 g as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not 100 * n_common_words > {quality.DEPLETED_PERCENT} * n_words as kept, n_common_words
+  not base_failed and not 100 * n_common_words > {quality.DEPLETED_PERCENT} * n_words as kept, n_common_words, clean_sha256
 from g
 """
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tesseral.llm import exact_dedup, mixing, packing, quality
+from tesseral.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pii, quality
 
 SPACE = "[\x20\x09-\x0d]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -190,3 +190,32 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         want[i] += n * -(-tokens // packing.CONTEXT)
     assert got == +want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_duplicates", "near_duplicates", "source_mixing", "best_fit_packing"]
+
+
+def test_near_copies_do_not_make_lines_common(spark):
+    rng = random.Random(2)
+    lines = [prose(rng, 12) for _ in range(8)]
+    rows = []
+    for i in range(300):  # a hot host: a family of 60 near copies, and lines in 2, 6 and 9 % of the documents
+        own = list(lines) if i % 5 == 0 else [prose(rng, 12) for _ in range(8)]
+        own[-1] = prose(rng, 12)
+        for step, name in ((50, "two"), (16, "six"), (11, "nine")):
+            if i % step == 1:
+                own.insert(1 + i % 7, f"the line in {name} hundredths of the documents")
+        rows.append((i, "\n".join(own), "en", "a", 1))
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.kept for r in got)
+    left = Counter(x for r in got for x in set(r.clean_text.split("\n")))
+    assert all(left[x] == 60 for x in lines[:6])
+    assert left["the line in two hundredths of the documents"] == 6
+    assert not left["the line in six hundredths of the documents"] and not left["the line in nine hundredths of the documents"]
+    # the seventh line stands before one that each copy words differently
+    assert {r.n_common_words for r in got} == {0, 8, 12, 16, 20} and not left[lines[6]]
+
+
+def test_working_names_are_free(spark):
+    names = ["__text", "__t1", "__lines", "__h", "__id", "__sha", "__k0", "__n", "__u", "first", "k0"]
+    docs = spark.createDataFrame([(i, f"some words of text {i % 2} " * 9, "en", "a", 1) for i in range(4)], DOCS).withColumns({c: F.lit(c) for c in names})
+    for run in (quality.judge, exact_dedup.dedupe, mixing.mix, near_dedup.dedupe, near_dedup.keep_one, line_dedup.dedupe, licenses.scan, pii.find, pii.sanitise):
+        got = run(docs).collect()
+        assert got and all(r[c] == c for r in got for c in names), run
