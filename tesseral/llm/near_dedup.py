@@ -23,8 +23,10 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Classes of shingles whose parities bound from below in how many shingles two sets differ.
 PARITIES = 2048
+#: Numbers of 64 parities each into which they are folded where many pairs are looked at.
+COARSE = 8
 #: Shingles that a signature batch holds at most, besides one text.
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 400_000
 #: Tables of up to this many rows (up to 32 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Far below what one shingle changes in a comparison of similarities, far above rounding.
@@ -151,7 +153,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys and parities of the shingle sets, whose similarity decides on links; texts that
     repeat shingles get the keys of their weighted signatures as well, which differ only there."""
     for batch in batches:
-        for rows, values, offsets in _slices(batch, 1024):
+        for rows, values, offsets in _slices(batch, 512):
             once, ends = _distinct(values, offsets)
             keys = band_keys(signatures(once, ends))
             use = np.repeat((np.diff(ends) > 0)[:, None], BANDS, axis=1)
@@ -282,21 +284,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame, similarity: fl
     return labels
 
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame, similarity: float, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _coarse(odd: str) -> list[Column]:
+    """The parities of COARSE times 64 larger classes, a number each: as exact, and less close."""
+    each = PARITIES // 64 // COARSE
+    return [F.expr(f"aggregate(slice({odd}, {1 + each * i}, {each}), 0L, (a, b) -> a ^ b)").alias(f"odd{i}") for i in range(COARSE)]
+
+
+def _prefix_pairs(sets: DataFrame, sketches: DataFrame, labels: DataFrame, similarity: float, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b) of all texts in different components that can be that similar: in a common order of
     shingles, the rarest first, similar sets share one of their first n - ceil(similarity * n) + 1.
-    Shingles of a single text are passed over; the places of a shared one bound what follows it."""
+    Shingles of a single text are passed over. At the first shingle that two texts share, what follows
+    it in either bounds how many more they share; so do the parities."""
     each = sets.select("node", F.explode("s").alias("x"))
     counts = each.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
     shared = each.join(counts, "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("o"))
     sized = sets.select("node", F.size("s").alias("n")).join(shared, "node").join(labels, "node")
     lead = F.size("o") + 1 - F.ceil(F.lit(similarity) * F.col("n") - EPSILON).cast("int")
     firsts = sized.where(lead > 0).select("node", "comp", "n", F.size("o").alias("c"), F.posexplode(F.slice("o", F.lit(1), lead)).alias("i", "e"))
-    firsts = settle(firsts.select("node", "comp", "n", "c", "i", F.col("e.x").alias("x")))
+    firsts = settle(firsts.select("node", "comp", "n", "c", "i", F.col("e.x").alias("x")).join(sketches.select("node", *_coarse("odd")), "node"))
     x, y = firsts.alias("x"), firsts.alias("y")
-    need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - EPSILON
-    most = F.least("x.i", "y.i") + 1 + F.least(F.col("x.c") - 1 - F.col("x.i"), F.col("y.c") - 1 - F.col("y.i"))
-    mates = x.join(y, (F.col("x.x") == F.col("y.x")) & (F.col("x.comp") < F.col("y.comp")) & (most >= need))
+    sizes = F.col("x.n") + F.col("y.n")
+    enough = F.least(F.col("x.c") - F.col("x.i"), F.col("y.c") - F.col("y.i")) >= F.lit(similarity / (1 + similarity)) * sizes - EPSILON
+    close = F.expr(" + ".join(f"bit_count(x.odd{i} ^ y.odd{i})" for i in range(COARSE))) <= F.lit(_most_apart(similarity)) * sizes + EPSILON
+    mates = x.join(y, (F.col("x.x") == F.col("y.x")) & (F.col("x.comp") < F.col("y.comp")) & enough & close)
     return mates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -333,7 +343,7 @@ def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         owned = rows.select("node", "key").join(labels, "node")
         split = owned.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         left = put(owned.join(split, "key").select("node").distinct())
-        mates = _prefix_pairs(put(sets.join(left, "node")), labels, similarity, put)
+        mates = _prefix_pairs(put(sets.join(left, "node")), sketches, labels, similarity, put)
         labels = _linked(put(_may_link(mates, sketches, similarity)), sets, labels, similarity, put)
 
         own = texts.select("node", "k0", "k1", "first", "last").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
