@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,9 +24,30 @@ from .common import partitions, settle
 
 CONTEXT, END_ID = 4096, 1
 #: Words whose ids a worker remembers; when full, the older half is forgotten.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 #: Plans of up to this many runs (about 40 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_RUNS = 100_000
+# How a tokenizer must normalise and cut texts for their stretches between blanks to be
+# looked up one by one (its definition's own entries). Any other tokenizer gets whole texts.
+STRETCHED = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -86,7 +108,7 @@ def _put(room: dict[int, list[tuple[int, int]]], free: int, first: int, many: in
 
 
 class _Words(dict):
-    """Ids, as bytes, of the stretches between blanks. Blanks never fall inside a token of this
+    """Ids, as bytes, of the stretches between blanks, for tokenizers that are STRETCHED. Blanks never fall inside a token of this
     tokenizer, so a text's ids are those of its stretches in turn. A stretch of Latin-1 letters goes
     to the tokenizer's model in lower case, with its trailing ASCII marks apart, as the tokenizer
     itself cuts there; any other stretch goes through the whole tokenizer."""
@@ -97,6 +119,11 @@ class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__({"": b""})
         self.tokenizer, self.older, self.letters = tokenizer, {}, frozenset(self.LETTERS)
+        told = json.loads(tokenizer.to_str())
+        marked = all("<|" in t["content"] and not t["normalized"] for t in told["added_tokens"])
+        self.stretched = marked and told["model"]["type"] == "BPE" and all(told[k] == v for k, v in STRETCHED.items())
+        if not self.stretched:
+            return
         self.plain = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in self.LETTERS}
         self.marks: dict[str, bytes] = {"": b""}
         self.tokenize = tokenizer.model.tokenize
@@ -139,6 +166,8 @@ def _words(path: str) -> _Words:
 
 def encode(text: str, words: _Words) -> bytes:
     """The text's ids as little-endian unsigned 32-bit numbers."""
+    if not words.stretched:
+        return words.whole(text)
     if "<|" not in text:  # there may be a special token, which is told by its case
         try:
             text.encode("latin-1")  # such texts are in composed form, and lower case keeps their letters
@@ -234,7 +263,9 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, context: in
 
 
 def sequences(docs: DataFrame, *, tokenizer: str | None = None, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
-    """The packed training sequences themselves: sequence_id, ids, doc_ids and their offsets."""
+    """The packed training sequences themselves: sequence_id, ids, doc_ids and their offsets. A
+    sequence holds `context` ids at most, so that is what meets in a group. Null and empty texts add
+    their end id, null ids stay null, repeated rows are packed each, an empty table gives none."""
     pieces = settle(tokenise(docs, tokenizer=tokenizer, context=context, end_id=end_id, with_ids=True))
     part = F.struct("offset", "doc_id", "ids")
     grouped = pack(pieces, context=context).groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))

@@ -67,10 +67,13 @@ TEXTS = [
 ]
 
 
-def test_encoding_equals_the_tokenizer():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_equals_the_tokenizer(name):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = packing.default_tokenizer()
+    path = public_tokenizers.path(name)
+    assert packing._words(path).stretched == (path == packing.default_tokenizer())
     tokenizer = Tokenizer.from_file(path)
     words = packing._words(path)
     for text in [t or "" for t in TEXTS]:
