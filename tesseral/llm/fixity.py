@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, settle
@@ -47,6 +47,23 @@ def write_warc(records: DataFrame, path: str, *, archives: int | None = None) ->
     ordered.select(F.concat("record", F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(record_no, record) of the WARC files that `write_warc` has written, or of a replica of them.
+    Files are split at the lines that open a record; a body's announced length tells whether closing
+    line ends follow it. A record whose number cannot be read any more has the number -1. No files
+    with records give an empty table."""
+    opening = "WARC/1.0\r\n"
+    piece = F.regexp_replace("value", r"^WARC/1\.0\r\n", "")
+    pieces = spark.read.option("lineSep", "\r\n\r\n" + opening).text(path).where("value <> ''").select(piece.alias("value"))
+    body = F.substring_index("value", "\r\n\r\n", 1)
+    announced = F.regexp_extract(body, r"Content-Length: (\d+)", 1).try_cast("long")
+    found = F.octet_length("value") - F.octet_length(body) - 4
+    closed = (found == announced + 4) & F.col("value").endswith("\r\n\r\n")
+    record = F.when(closed, F.left("value", F.length("value") - 4)).otherwise(F.col("value"))
+    number = F.coalesce(F.regexp_extract(body, r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long"), F.lit(-1).cast("long"))
+    return pieces.select(number.alias("record_no"), F.concat(F.lit(opening), record).alias("record"))
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """One row per record: archive, node (its place there), record_no, copy (from 1 among equal
     numbers), lo and hi (its bytes in the archive, the closing line ends included), record_sha256
@@ -104,7 +121,7 @@ def top_level(leaf: DataFrame) -> int:
 
 
 def _parts(df: DataFrame, level: int) -> int:
-    """Partitions for a level: a level has a FANOUT-th of the nodes below it."""
+    """Partitions for the work on a level's nodes: it has a FANOUT-th of the nodes below it."""
     return max(1, partitions(df.sparkSession) // FANOUT**level)
 
 
@@ -113,7 +130,7 @@ def tree(leaf: DataFrame, top: int) -> list[DataFrame]:
     archives, lo and hi span the archives' own ranges."""
     levels = [_with_parent(leaf, 0)]
     for level in range(1, top + 1):
-        levels.append(settle(_above(levels[-1], level).coalesce(_parts(leaf, level))))
+        levels.append(settle(_above(levels[-1], level).coalesce(_parts(leaf, level - 1))))
     return levels
 
 
@@ -126,7 +143,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     Repeated rows are told apart as copies; numbers decide the archive, so a hot host or page does
     not matter. Two empty replicas are equal.
     """
-    mine, theirs = settle(leaves(first)), settle(leaves(second))
+    return _compared(settle(leaves(first)), settle(leaves(second)))
+
+
+def _compared(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """`audit` over the settled leaves of two replicas."""
     top = max(top_level(mine), top_level(theirs))
     a, b = tree(mine, top), tree(theirs, top)
     key = ["archive", "node"]
@@ -137,7 +158,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
             up = differs.select(F.col("archive").alias("parent_archive"), F.col("node").alias("parent_node"))
             x, y = (z.join(up, ["parent_archive", "parent_node"], "left_semi") for z in (x, y))
         pair = x.select(*key, F.col("digest").alias("__x")).join(y.select(*key, F.col("digest").alias("__y")), key, "full")
-        differs = settle(pair.where(~F.col("__x").eqNullSafe(F.col("__y"))).select(*key).coalesce(_parts(first, level)))
+        differs = settle(pair.where(~F.col("__x").eqNullSafe(F.col("__y"))).select(*key).coalesce(_parts(mine, max(0, level - 1))))
     mine, theirs = (z.join(differs, key, "left_semi") for z in (mine, theirs))
     other = theirs.select("archive", "record_no", "copy", *(F.col(c).alias(f"other_{c}") for c in ("lo", "hi", "record_sha256")))
     both = mine.select("archive", "record_no", "copy", "lo", "hi", "record_sha256").join(other, ["archive", "record_no", "copy"], "full")
@@ -152,9 +173,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def report(first: DataFrame, second: DataFrame) -> DataFrame:
     """Every record of the first replica with its verdict: status is `intact` where the audit found
-    no difference. Records that only the second has come along as `added`."""
-    found = audit(first, second)
-    own = leaves(first).select("archive", "record_no", "copy", "lo", "hi", "record_sha256")
+    no difference. Records that only the second has come along as `added`. Repeated rows are copies
+    of a number and have a verdict each; two empty replicas give an empty report."""
+    mine = settle(leaves(first))
+    found = _compared(mine, settle(leaves(second)))
+    own = mine.select("archive", "record_no", "copy", "lo", "hi", "record_sha256")
     told = found.select("archive", "record_no", "copy", "status")
     known = own.join(told, ["archive", "record_no", "copy"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
     added = found.where("status = 'added'").select(

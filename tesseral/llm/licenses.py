@@ -7,6 +7,8 @@ spans, and each span's words are compared with the template's.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ GRAM = 4
 SHIFT, GAP = 3, 24
 #: Part of a template's words that a span must have in place.
 COVERAGE = 0.8
+#: Templates of up to this many words in all are broadcast; larger collections are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 
 # The phrases of the contract and their labels.
 PHRASES = {
@@ -99,7 +103,11 @@ def with_grams(df: DataFrame, words: Column) -> DataFrame:
 
 
 def template_table(spark: SparkSession, templates: dict[str, tuple[str, str]]) -> DataFrame:
-    """(template, label, words, grams) of the templates, which must have at least GRAM words."""
+    """(template, label, words, grams) of the templates; one of fewer than GRAM words cannot be found
+    by its grams and raises."""
+    short = [name for name, (_, text) in templates.items() if len([w for w in re.split(SEPARATORS, text) if w]) < GRAM]
+    if short:
+        raise ValueError(f"templates of fewer than {GRAM} words: {', '.join(sorted(short))}")
     rows = [(name, label, text) for name, (label, text) in templates.items()]
     table = with_grams(spark.createDataFrame(rows, "template string, label string, text string"), license_words(F.col("text")))
     return table.select("template", "label", F.col("__words").alias("tw"), F.col("__g4").alias("tg"))
@@ -109,9 +117,10 @@ def spans(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, *,
     """(__t1, __t2, template, label, first_word, end_word, covered) of every verified span, by the
     content keys of the text. covered is the part of the template's words that stand in place.
 
-    The templates are program constants: their positions (some hundred rows) are broadcast. Only
-    hits leave the join; they are counted within tasks before they are shuffled, and copies of a
-    text are counted once.
+    The templates' positions (some hundred rows) are broadcast while they are few. Only hits leave
+    the join; they are counted within tasks before they are shuffled, and copies of a text are
+    counted once. Diagonals follow each other at most SHIFT apart; along such a band, hits that begin
+    beyond GAP words after all before them start a new span.
     """
     table = template_table(docs.sparkSession, templates)
     at = table.select("template", F.posexplode("tg").alias("__tpos", "__tgram"))
@@ -119,26 +128,32 @@ def spans(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, *,
     texts = docs.select(text_or_empty().alias("__text"), t1.alias("__t1"), t2.alias("__t2"))
     # outer: Spark would else filter on the array's size before it, and build the array once more for that
     grams = with_grams(texts, license_words(F.col("__text"))).select("__t1", "__t2", F.posexplode_outer("__g4").alias("__pos", "__gram"))
-    hits = grams.join(F.broadcast(at), F.col("__gram") == F.col("__tgram"))
+    few = F.broadcast if sum(len(text) for _, text in templates.values()) <= BROADCAST_WORDS else (lambda df: df)
+    hits = grams.join(few(at), F.col("__gram") == F.col("__tgram"))
     votes = (
         hits.select("__t1", "__t2", "template", (F.col("__pos") - F.col("__tpos")).alias("diagonal"), "__pos")
         .distinct()
         .groupBy("__t1", "__t2", "template", "diagonal")
         .agg(F.count("*").alias("votes"), F.min("__pos").alias("lo"), F.max("__pos").alias("hi"))
     )
-    order = Window.partitionBy("__t1", "__t2", "template").orderBy("lo", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SHIFT) | (F.col("lo") - F.lag("hi").over(order) > GRAM + GAP)
+    own = ["__t1", "__t2", "template"]
+    across = Window.partitionBy(*own).orderBy("diagonal")
+    along = Window.partitionBy(*own, "__band").orderBy("lo", "diagonal")
+    reach = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(across) > SHIFT, F.lit(True))
     merged = (
-        votes.withColumn("__new", F.coalesce(apart, F.lit(True)).cast("int"))
-        .withColumn("__span", F.sum("__new").over(order))
-        .groupBy("__t1", "__t2", "template", "__span")
+        votes.withColumn("__far", far.cast("int"))
+        .withColumn("__band", F.sum("__far").over(across))
+        .withColumn("__new", F.coalesce(F.col("lo") - reach > GRAM + GAP, F.lit(True)).cast("int"))
+        .withColumn("__span", F.sum("__new").over(along))
+        .groupBy(*own, "__band", "__span")
         .agg(F.min("lo").alias("first_word"), (F.max("hi") + GRAM).alias("end_word"), F.sort_array(F.collect_set("diagonal")).alias("diagonals"))
     )
     found = settle(merged)
     wanted = found.select("__t1", "__t2").distinct()
-    own = texts.join(wanted, ["__t1", "__t2"], "left_semi").dropDuplicates(["__t1", "__t2"])
-    own = own.select("__t1", "__t2", license_words(F.col("__text")).alias("__words"))
-    checked = found.join(own, ["__t1", "__t2"]).join(F.broadcast(table.drop("tg")), "template")
+    whole = texts.join(wanted, ["__t1", "__t2"], "left_semi").dropDuplicates(["__t1", "__t2"])
+    whole = whole.select("__t1", "__t2", license_words(F.col("__text")).alias("__words"))
+    checked = found.join(whole, ["__t1", "__t2"]).join(few(table.drop("tg")), "template")
     in_place = F.expr("size(filter(sequence(0, size(tw) - 1), j -> exists(diagonals, d -> get(__words, j + d) <=> tw[j])))")
     return (
         checked.withColumn("covered", in_place / F.size("tw"))

@@ -8,16 +8,17 @@ that count, and all copies are ordered by a second hash: a global shuffle that a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shielded, text_or_empty
+from .common import fold, partitions, settle, shielded, text_or_empty
 
 #: Exponent of the default weights: a source's weight is its size to this power.
 SMOOTHING = 0.5
 SEED = "mix-1"
-#: Steps of the cumulated distribution beyond the mean, in roots of the mean and absolutely.
+#: How far the distribution is looked at on either side of its mode, in roots of the mean and steps.
 TAIL_ROOTS, TAIL_STEPS = 12, 24
 #: Hexadecimal digits of the hash that make the uniform number; 52 bits are exact in a double.
 UNIFORM_DIGITS = 13
@@ -53,20 +54,36 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, total: fl
     return weighed.select("source", "size", rate.alias("rate"))
 
 
+def _reach(rate: Column) -> tuple[Column, Column, Column]:
+    """The least, the most likely and the largest count that are looked at."""
+    mode, width = F.floor(rate).cast("int"), F.ceil(F.lit(TAIL_ROOTS) * F.sqrt(rate) + F.lit(TAIL_STEPS)).cast("int")
+    return F.greatest(mode - width, F.lit(0)), mode, mode + width
+
+
 def cumulated(rate: Column) -> Column:
-    """P(X <= k) of the Poisson distribution for k = 0, 1, ... far into its tail. The terms are
-    built in logarithms, so that a large rate does not underflow."""
-    last = F.ceil(rate + F.lit(TAIL_ROOTS) * F.sqrt(rate) + F.lit(TAIL_STEPS)).cast("int")
-    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log = F.when(k == 0, -rate).otherwise(acc["log"] + F.ln(rate) - F.ln(F.greatest(k, F.lit(1)).cast("double")))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
-
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(
-        F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["all"])
-    )
+    """P(X <= k) of the Poisson distribution for k from the first of `_reach` to the last. Each term
+    follows from its neighbour, outwards from the mode; their sum scales them, so no rate underflows
+    and the work grows with the root of the rate."""
+    low, mode, high = _reach(rate)
+    none = F.array().cast("array<double>")
+    up = lambda ks: fold(ks, "array<double>", F.lit(1.0), lambda p, k: (p * rate / k, F.array(p * rate / k)))
+    down = lambda ks: fold(ks, "array<double>", F.lit(1.0), lambda p, k: (p * k / rate, F.array(p * k / rate)))
+    below = F.when(mode > low, _bound(F.sequence(mode, low + 1, F.lit(-1)), down)).otherwise(none)
+    terms = F.concat(F.reverse(below), F.array(F.lit(1.0)), _bound(F.sequence(mode + 1, high), up))
+    sums = _bound(terms, lambda ps: fold(ps, "array<double>", F.lit(0.0), lambda s, p: (s + p, F.array(s + p))))
+    scaled = _bound(sums, lambda all_: _bound(F.element_at(all_, -1), lambda last: F.transform(all_, lambda s: s / last)))
+    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(scaled)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _below(cdf: str, u: str) -> Column:
+    """How many numbers of a sorted array are not above u, by binary search."""
+    steps = f"sequence(cast(ceil(log2(size({cdf}) + 1)) as int), 0, -1)"
+    return F.expr(f"aggregate({steps}, 0, (at, b) -> if(at + shiftleft(1, b) <= size({cdf}) and get({cdf}, at + shiftleft(1, b) - 1) <= {u}, at + shiftleft(1, b), at))")
 
 
 @shielded
@@ -88,15 +105,20 @@ def mix(
     Input columns named mix_copy or mix_key are replaced; other columns are carried along.
     """
     docs = docs.drop("mix_copy", "mix_key")
-    table = rates(docs, weights, total=total).select(F.col("source").alias("__source"), cumulated(F.col("rate")).alias("__cdf"))
+    rated = rates(docs, weights, total=total)
+    low, _, _ = _reach(F.col("rate"))
+    table = settle(rated.select(F.col("source").alias("__source"), low.alias("__low"), cumulated(F.col("rate")).alias("__cdf")))
     joined = docs.join(table, F.col("source").eqNullSafe(F.col("__source")), "left")
     drawn = uniform(F.lit(f"{seed}-count"), F.col("doc_id"))
-    count = F.expr("size(filter(__cdf, c -> c <= __u))")
     copies = (
         joined.withColumn("__u", drawn)
-        .withColumn("__n", count)
+        .withColumn("__n", F.col("__low") + _below("__cdf", "__u"))
         .where("__n > 0")
         .select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
     )
     key = F.md5(F.concat_ws("\n", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).orderBy("mix_key")
+    # digests are spread evenly, so their first digits tell the range: no splitters need be sampled
+    n = partitions(docs.sparkSession)
+    part = F.expr(f"cast(cast(conv(substring(mix_key, 1, 8), 16, 10) as bigint) * {n} div 4294967296 as int)")
+    placed = copies.withColumn("mix_key", key).repartitionById(n, part)
+    return placed.sortWithinPartitions("mix_key")

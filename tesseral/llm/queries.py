@@ -104,6 +104,39 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def _rows(*rows: tuple) -> str:
+    """The rows of a VALUES list."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+LONGEST = max(len(p.split()) for p in licenses.PHRASES)
+OP7_SQL = rf"""
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SEPARATORS}'), lambda x: x <> '') as ws from documents),
+ph as (select string_split(p, ' ') as ps, label from (values {_rows(*licenses.PHRASES.items())}) as v(p, label)),
+wd as (select doc_id, i, ws[i] as x, ws[i:i + {LONGEST - 1}] as xs, array_to_string(ws[i:i + {licenses.GRAM - 1}], ' ') as g, len(ws) - i + 1 as n
+       from w, unnest(range(1, len(ws) + 1)) as u(i)),
+base as (select doc_id, i - 1 as pos, label from wd join ph on wd.x = ps[1] and xs[1:len(ps)] = ps),
+t as (select template, label, list_filter(regexp_split_to_array(translate(txt, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SEPARATORS}'), lambda x: x <> '') as tw
+      from (values {_rows(*((k, *v) for k, v in licenses.TEMPLATES.items()))}) as v(template, label, txt)),
+tg as (select template, j, array_to_string(tw[j:j + {licenses.GRAM - 1}], ' ') as g from t, unnest(range(1, len(tw) - {licenses.GRAM - 2})) as u(j)),
+votes as (select doc_id, template, i - j as diag, min(i) as lo, max(i) as hi from wd join tg using (g) where wd.n >= {licenses.GRAM} group by all),
+b1 as (select *, coalesce(diag - lag(diag) over (partition by doc_id, template order by diag) > {licenses.SHIFT}, true) as far from votes),
+b2 as (select *, sum(far::int) over (partition by doc_id, template order by diag) as band from b1),
+b3 as (select *, coalesce(lo - max(hi) over (partition by doc_id, template, band order by lo, diag rows between unbounded preceding and 1 preceding) > {licenses.GRAM + licenses.GAP}, true) as fresh from b2),
+b4 as (select *, sum(fresh::int) over (partition by doc_id, template, band order by lo, diag) as span from b3),
+cov as (select doc_id, template, band, span, count(distinct k) as n from b4 join t using (template) join w using (doc_id), unnest(range(1, len(tw) + 1)) as u(k)
+        where k + diag >= 1 and ws[k + diag] = tw[k] group by all),
+good as (select doc_id, label, n::double / len(tw) as covered from cov join t using (template) where n::double / len(tw) >= {licenses.COVERAGE}),
+bl as (select doc_id, count(*) as n, min(pos) as lo, max(pos) as hi, string_agg(distinct label, ',' order by label) as labels from base group by 1),
+every as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base union select doc_id, label from good) group by 1),
+best as (select doc_id, max(covered) as covered from good group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(bl.n, 0)::bigint as n_base, bl.lo::bigint as first_word, bl.hi::bigint as last_word,
+  coalesce(bl.labels, '') as base_labels, coalesce(every.labels, '') as labels, case when bl.n > 0 then 1.0::double else coalesce(covered, 0.0)::double end as score
+from w left join bl using (doc_id) left join every using (doc_id) left join best using (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedupe(docs).select("doc_id", "n_lines", "n_removed", "removed_spans", "clean_text")
@@ -177,6 +210,10 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
-    "op9_warc_fixity": OP9_SQL,
+    "op2_quality_rules": OP2_SQL,
+    "op4_source_mixing": OP4_SQL,
+    "op7_license_scan": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
-    "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    "op9_warc_fixity": OP9_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}

@@ -1,5 +1,6 @@
 import glob
 import hashlib
+import os
 import re
 
 from tesseral.llm import fixity
@@ -55,3 +56,28 @@ def test_written_archives_can_be_read(spark, tmp_path):
         assert head.startswith(b"WARC/1.0\r\n") and rest[n : n + 4] == b"\r\n\r\n"
         data, seen = rest[n + 4 :], seen + 1
     assert seen == records.count()
+
+
+def test_replicas_on_disk_are_audited(spark, tmp_path):
+    records = fixity.warc_records(made(spark, 400))
+    for name in ("first", "second"):
+        fixity.write_warc(records, f"{tmp_path}/{name}", archives=3)
+    first, second = (fixity.read_warc(spark, f"{tmp_path}/{name}") for name in ("first", "second"))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, records.collect()))
+    assert fixity.audit(first, second).collect() == []
+    for f in glob.glob(f"{tmp_path}/second/.*crc"):
+        os.remove(f)
+    damaged = []
+    for f in sorted(glob.glob(f"{tmp_path}/second/part-*")):
+        data = bytearray(open(f, "rb").read())
+        if at := data.find(b"<p>") + 1:
+            damaged.append(int(re.findall(rb"urn:page:(\d+)", data[:at])[-1]))
+            data[at - 1] = ord("?")
+            open(f, "wb").write(data)
+    assert damaged and sorted(r.record_no for r in fixity.audit(first, second).where("status = 'corrupt'").collect()) == sorted(damaged)
+
+
+def test_a_very_long_record(spark):
+    records = fixity.warc_records(spark.createDataFrame([(1, "u", "é" * 2_000_000, ""), (2, "u", "", "")], PAGES))
+    told = {r.record_no: (r.lo, r.hi, r.status) for r in fixity.report(records, fixity.warc_records(spark.createDataFrame([(1, "u", "é" * 1_999_999 + "e", ""), (2, "u", "", "")], PAGES))).collect()}
+    assert told[1][2] == "corrupt" and told[1][1] == told[2][0] and told[2][2] == "moved" and told[1][1] > 4_000_000

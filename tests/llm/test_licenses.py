@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tesseral.llm import licenses
 
 SCHEMA = "doc_id long, text string, labels string"
@@ -58,5 +60,16 @@ def test_neighbouring_diagonals_merge(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_a_short_diagonal_inside_a_long_one_parts_no_span(spark):
+    own = [f"w{i}" for i in range(60)]
+    own[40:44] = own[2:6]  # the template repeats four of its words
+    text = own[:50] + ["also"] + own[50:]
+    templates = {"own": ("own", " ".join(own))}
+    (r,) = licenses.scan(spark.createDataFrame([(1, " ".join(text), None)], SCHEMA), templates).collect()
+    assert [(s.first_word, s.end_word, s.covered) for s in r.license_spans] == [(0, 61, 1.0)]
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([], SCHEMA), {"short": ("x", "three words only")})
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -151,11 +152,29 @@ def test_large_rates_invert(spark):
     rows = spark.createDataFrame([(900.0,), (0.0,), (2.5,)], "rate double").select("rate", mixing.cumulated(F.col("rate")).alias("c")).collect()
     by = {r.rate: r.c for r in rows}
     assert by[0.0] == [1.0] and by[900.0][-1] == pytest.approx(1, abs=1e-9)
+    began = time.perf_counter()
+    (big,) = spark.createDataFrame([(1e6,)], "rate double").select(mixing.cumulated(F.col("rate")).alias("c")).first()
+    assert time.perf_counter() - began < 5 and len(big) == 2 * (12 * 1000 + 24) + 1 and big[-1] == 1
+    assert big[12 * 1000 + 24] == pytest.approx(0.5 + 2 / 3 / math.sqrt(2 * math.pi * 1e6), abs=1e-7)
     assert by[2.5][3] == pytest.approx(sum(math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(4)))
     with pytest.raises(ValueError):
         mixing.rates(spark.createDataFrame([], DOCS), {"a": -1.0})
 
 
+def test_high_rates_replicate(spark):
+    docs = spark.createDataFrame([(i, "x", "en", "small", 1) for i in range(40)] + [(99, "x" * 400_000, "en", "large", 1)], DOCS)
+    got = Counter(r.doc_id for r in mixing.mix(docs, {"small": 1.0, "large": 1.0}).collect())
+    assert {i: got[i] for i in range(40)} == {i: poisson_from_mode(200_020 / 40, i) for i in range(40)}
+
+
+def poisson_from_mode(rate, doc_id):
+    u = int(hashlib.md5(f"{mixing.SEED}-count\n{doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+    total, k = 0.0, 0
+    while (total := total + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= u:
+        k += 1
+    return k
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
