@@ -178,6 +178,14 @@ def routed(rows: DataFrame, summary: str = "object_summary", views: str = "views
     return out.withColumn("caption", F.when(F.col("outcome") == "accepted", caption(F.col(summary), F.col(views))))
 
 
+def with_skipped(rows: DataFrame, skipped: DataFrame, key: str) -> DataFrame:
+    """(key, outcome, reasons) of every instance: the routed ones, with their errors or reasons, and the
+    groups (key, reason) that were skipped before they had an annotation."""
+    why = F.when(F.col("outcome") == "failed", F.col("validation_errors")).otherwise(F.col("rejection_reasons"))
+    own = rows.select(key, "outcome", F.array_join(why, "; ").alias("reasons"))
+    return own.unionByName(skipped.select(key, F.lit("skipped").alias("outcome"), F.col("reason").alias("reasons")))
+
+
 def outcome_counters(rows: DataFrame, outcome: str = "outcome", per_accepted: int = 4) -> DataFrame:
     """One row: used, images, ambiguous, skipped, failed."""
     n = lambda name: F.count_if(F.col(outcome) == name).cast("long")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.working import settle
+
 
 class Annotator(Protocol):
     """Turns a composite and its category into response text. Made once per task by its factory."""
@@ -45,8 +47,10 @@ def recorded(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def memoised(instances: DataFrame, cache: DataFrame, annotator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Cached responses, and the annotator's for the rest; a cached response is reused even if it
-    is invalid. `cached` tells which."""
+    is invalid. `cached` tells which. Fresh responses are written down with their keys before
+    anything reads them: each is asked for once, whatever is done with the result."""
     hits = instances.join(cache.select("cache_key", "raw_response_text"), "cache_key").withColumn("cached", F.lit(True))
     misses = instances.join(cache.select("cache_key"), "cache_key", "left_anti")
     fresh = annotator(misses.dropDuplicates(["cache_key"])).select("cache_key", "raw_response_text")
+    fresh = settle(fresh)
     return hits.unionByName(misses.join(fresh, "cache_key", "left").withColumn("cached", F.lit(False)))

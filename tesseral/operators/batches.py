@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.schema import inlined
 from ..functions.text import base64_line, padded
+from .annotation import parsed
+from .cache import envelope
 from .ordering import numbered
 
 # States in which a job does not go on.
@@ -28,13 +34,18 @@ def uncached(requests: DataFrame, cache: DataFrame, key: str, *, retry_invalid:
     return requests.join(done.select(key).distinct(), key, "left_anti")
 
 
-def payload(image: Column, category: Column, template: str, *, mime: str = "image/jpeg", max_tokens: int = 1024) -> Column:
-    """The request as JSON: instruction and image, and a generation setup for JSON answers."""
+def payload(
+    image: Column, category: Column, template: str, *, mime: str = "image/jpeg", max_tokens: int = 1024, schema: dict[str, Any] | None = None
+) -> Column:
+    """The request as JSON: the user's image and instruction, and a generation setup for JSON answers
+    of the schema, without thinking."""
     text = F.replace(F.lit(template), F.lit("{category}"), category)
     data = F.struct(F.lit(mime).alias("mimeType"), base64_line(image).alias("data"))
-    parts = F.array(F.to_json(F.struct(text.alias("text"))), F.to_json(F.struct(data.alias("inlineData"))))
-    setup = F.to_json(F.struct(F.lit(0).alias("temperature"), F.lit(max_tokens).alias("maxOutputTokens"), F.lit("application/json").alias("responseMimeType")))
-    return F.concat(F.lit('{"contents":[{"parts":['), F.array_join(parts, ","), F.lit(']}],"generationConfig":'), setup, F.lit("}"))
+    parts = F.array(F.to_json(F.struct(data.alias("inlineData"))), F.to_json(F.struct(text.alias("text"))))
+    setup = {"maxOutputTokens": max_tokens, "temperature": 0.0, "responseMimeType": "application/json", "thinkingConfig": {"thinkingBudget": 0}}
+    if schema is not None:
+        setup["responseSchema"] = inlined(schema)
+    return F.concat(F.lit('{"contents":[{"role":"user","parts":['), F.array_join(parts, ","), F.lit(']}],"generationConfig":' + json.dumps(setup) + "}"))
 
 
 def response_text(response: Column) -> Column:
@@ -55,6 +66,65 @@ def matched_results(requests: DataFrame, results: DataFrame, key: str = "key") -
     return both.select("*", F.col("__r.response").alias("response"), F.col("__r.error").alias("error"), status.alias("status")).drop("__r", "__known")
 
 
+def prepared(instances: DataFrame, cache: DataFrame, order: list[str], size: int = CHUNK_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(index, state). The index has every instance; those without a valid cache entry have a chunk and
+    its file, and one of equal keys stands for all. The state has a row per chunk: no job yet."""
+    todo = uncached(instances, cache, "cache_key").dropDuplicates(["key"])
+    numbers = chunked(todo, order, size).select("key", "ordinal", "chunk", "input_file")
+    index = instances.join(numbers, "key", "left")
+    none = F.lit(None).cast("string")
+    state = numbers.select("chunk", "input_file").distinct()
+    return index, state.select("*", none.alias("job_name"), none.alias("state"), none.alias("result_file"), none.alias("error"))
+
+
+def unsubmitted(state: DataFrame) -> DataFrame:
+    return state.where("job_name is null")
+
+
+def submitted(state: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The state with the jobs (chunk, job_name) of a submission; a chunk keeps a job that it has, so a
+    submission that was broken off goes on where it stopped."""
+    new = jobs.select("chunk", F.col("job_name").alias("__job"))
+    return state.join(new, "chunk", "left").withColumn("job_name", F.coalesce("job_name", "__job")).drop("__job")
+
+
+def polled(state: DataFrame, seen: DataFrame) -> DataFrame:
+    """The state with what a poll has told of jobs (job_name, state, result_file, error). Result files
+    count for jobs that have succeeded, errors for those that have ended otherwise; known files stay."""
+    told = seen.select("job_name", F.col("state").alias("__state"), F.col("result_file").alias("__file"), F.col("error").alias("__error"))
+    good = F.col("__state") == TERMINAL_STATES[0]
+    bad = F.col("__state").isin(*TERMINAL_STATES[1:])
+    updates = {
+        "state": F.coalesce("__state", "state"),
+        "result_file": F.coalesce("result_file", F.when(good, F.col("__file"))),
+        "error": F.coalesce(F.when(bad, F.coalesce("__error", F.lit("no reason given"))), "error"),
+    }
+    return state.join(told, "job_name", "left").withColumns(updates).drop("__state", "__file", "__error")
+
+
+def collected(index: DataFrame, results: DataFrame, *, model: str) -> DataFrame:
+    """Cache entries, by key, of the requests that have results, with status and error beside them:
+    `answered`, or what went wrong (`error`, `unknown`, `no content`). A response that breaks the
+    contract is kept with its errors, as any answer is paid for."""
+    asked = index.where("input_file is not null") if "input_file" in index.columns else index
+    known = matched_results(asked, results).where("status <> 'unanswered'")
+    text = known.withColumn("raw_response_text", F.when(F.col("status") == "answered", response_text(F.col("response"))))
+    empty = (F.col("status") == "answered") & F.col("raw_response_text").isNull()
+    read = parsed(text.withColumn("status", F.when(empty, "no content").otherwise(F.col("status"))))
+    return envelope(read.drop("response").withColumn("model_id", F.lit(model)))
+
+
+def collect_code(entries: DataFrame) -> DataFrame:
+    """One row: 1 if a result has failed, belongs to no request or breaks the contract, else 0."""
+    bad = (F.col("status") != "answered") | (F.col("validation_outcome") != "valid")
+    return entries.agg(F.coalesce(F.max(bad.cast("int")), F.lit(0)).alias("exit_code"))
+
+
+def build_code(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """One row: 1 if an instance has failed; skipped and ambiguous ones are no failure."""
+    return rows.agg(F.coalesce(F.max((F.col(outcome) == "failed").cast("int")), F.lit(0)).alias("exit_code"))
+
+
 def exit_code(jobs: DataFrame) -> DataFrame:
     """One row: 1 if a job ended badly, else 2 while one still runs, else 0."""
     ended = F.col("state").isin(*TERMINAL_STATES)

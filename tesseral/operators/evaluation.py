@@ -52,8 +52,10 @@ def generation_records(plan: DataFrame, run_config: dict[str, str], *, device: s
 
 def pair_errors(records: DataFrame) -> DataFrame:
     """(prompt_id, seed, error) of pairs without exactly one record per condition, or whose
-    controlled fields differ."""
-    fields = [f for f in CONTROLLED if f in records.columns]
+    controlled fields differ. A field that the records do not have at all raises."""
+    if gone := [f for f in CONTROLLED if f not in records.columns]:
+        raise ValueError(f"records lack the controlled fields {', '.join(gone)}")
+    fields = list(CONTROLLED)
     differ = [(f, ~F.min(f).eqNullSafe(F.max(f)) | ((F.count(f) > 0) & (F.count(f) < F.count("*")))) for f in fields]
     grouped = records.groupBy(F.col("prompt_id").cast("string").alias("prompt_id"), F.col("seed").cast("int").alias("seed")).agg(
         F.count("*").alias("n"),
@@ -67,6 +69,13 @@ def pair_errors(records: DataFrame) -> DataFrame:
     return grouped.select("prompt_id", "seed", error.alias("error")).where("error is not null")
 
 
+def by_condition(records: DataFrame) -> DataFrame:
+    """A row per (prompt_id, seed) with each condition's record as a struct; null where it lacks."""
+    own = F.struct(*(c for c in records.columns if c not in ("prompt_id", "seed", "condition")))
+    each = (F.max_by(F.when(F.col("condition") == c, own), F.when(F.col("condition") == c, F.lit(1))).alias(c) for c in CONDITIONS)
+    return records.groupBy(F.col("prompt_id").cast("string").alias("prompt_id"), F.col("seed").cast("int").alias("seed")).agg(*each)
+
+
 def blinded(records: DataFrame, *, seed: int | str = 17) -> DataFrame:
     """Adds pair_number (from 1, by prompt and seed) and blind_label (A or B by seeded hash within
     the pair). Pairs are numbered over their distinct keys only."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio, seeded_key
-from .ordering import running
+from .ordering import numbered, running
 
 
 def valid_rate(rows: DataFrame, valid: Column) -> DataFrame:
@@ -108,11 +108,12 @@ def calibrated_threshold(rows: DataFrame, confidence: str, correct: str, *, prec
 
 
 def stratified(rows: DataFrame, stratum: str, ident: str, fraction: float, *, seed: str | int = 17) -> DataFrame:
-    """Rows whose rank by seeded hash lies within `fraction` of their stratum. Meant for audits over
-    small strata; a stratum is ranked by one task."""
-    part = Window.partitionBy(stratum)
-    ranked = rows.withColumn("__r", F.row_number().over(part.orderBy(seeded_key(seed, F.col(ident)), ident))).withColumn("__n", F.count("*").over(part))
-    return ranked.where(F.col("__r") <= F.rint(F.col("__n") * fraction)).drop("__r", "__n")
+    """Rows whose rank by seeded hash lies within `fraction` of their stratum. Rows are numbered over
+    all tasks, strata one after another, so a large stratum is not ranked by one of them."""
+    ranked = numbered(rows.withColumn("__key", seeded_key(seed, F.col(ident))), [stratum, "__key", ident], "__r")
+    parts = ranked.groupBy(F.col(stratum).alias("__s")).agg(F.min("__r").alias("__first"), F.count("*").alias("__n"))
+    own = ranked.join(parts, F.col(stratum).eqNullSafe(F.col("__s")))
+    return own.where(F.col("__r") - F.col("__first") + 1 <= F.rint(F.col("__n") * fraction)).drop("__key", "__r", "__s", "__first", "__n")
 
 
 def cosine(a: Column, b: Column) -> Column:

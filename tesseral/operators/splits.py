@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key, stem, suffix
+from .ordering import numbered
 
 
 def require_empty(errors: DataFrame, message: str) -> None:
@@ -26,12 +27,12 @@ def holdout_size(n_groups: int, fraction: float) -> int:
 
 
 def holdout_groups(rows: DataFrame, group: str, *, seed: int = 17, fraction: float = 0.1, exact: bool = False) -> DataFrame:
-    """The groups that are held out. Portable mode orders groups by a seeded hash (a top-k, no full
-    sort); exact mode repeats Python's shuffle of the sorted ids on the driver, for small sets of groups."""
+    """The groups that are held out. Portable mode numbers groups by a seeded hash over all tasks, for
+    how many are held out grows with them; exact mode repeats Python's shuffle of the sorted ids on the driver, for small sets of groups."""
     groups = rows.select(group).distinct()
     k = holdout_size(groups.count(), fraction)
     if not exact:
-        return groups.orderBy(seeded_key(seed, F.col(group)), group).limit(k)
+        return numbered(groups.withColumn("__key", seeded_key(seed, F.col(group))), ["__key", group], "__rank").where(F.col("__rank") < k).select(group)
     ids = sorted(r[0] for r in groups.collect())
     random.Random(seed).shuffle(ids)
     return rows.sparkSession.createDataFrame([(i,) for i in ids[:k]], groups.schema)
@@ -43,6 +44,16 @@ def split(rows: DataFrame, group: str, **options) -> DataFrame:
     return rows.join(held, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("split", F.coalesce("__s", F.lit("train"))).drop("__g", "__s")
 
 
+def expected_total(rows: DataFrame, expected: int | None) -> DataFrame:
+    """(expected, found) if the number of rows is another one than expected; empty otherwise."""
+    return rows.agg(F.lit(expected).cast("long").alias("expected"), F.count("*").alias("found")).where(F.col("expected") != F.col("found"))
+
+
+def nested_leakage(rows: DataFrame, values: str, split_column: str = "split") -> DataFrame:
+    """`leakage` of the members of an array column."""
+    return leakage(rows.select(split_column, F.explode(values).alias("value")), "value", split_column)
+
+
 def leakage(rows: DataFrame, value: str, split_column: str = "split") -> DataFrame:
     """Values that occur on more than one side. Duplicates within a side are allowed. Counted by
     flags, so the aggregation is combined before the shuffle."""
@@ -85,6 +96,9 @@ def split_manifest(rows: DataFrame, *, seed: int, fraction: float) -> DataFrame:
     return rows.select("*", F.lit(seed).alias("seed"), F.lit(float(fraction)).alias("holdout_fraction")).orderBy("split", "stem")
 
 
-def first_five(values: Column) -> Column:
-    """The five smallest distinct values of a group, for messages."""
-    return F.slice(F.array_sort(F.collect_set(values)), 1, 5)
+def first_five(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, first): the five smallest distinct values of each group, for messages. Equal values are
+    combined first, so only a group's five smallest are held."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(value))
+    few = rows.select(group, value).distinct().withColumn("__r", rank).where("__r <= 5")
+    return few.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("first"))

@@ -41,6 +41,11 @@ def new_path(spark: SparkSession, name: str = "") -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _file_system(spark, path)
     files.delete(at, True)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from ..functions.text import stem, strip, suffix
 from ..operators.identity import path_keys
 
+# The fields of a cache entry.
 ENVELOPE_KEYS = (
     "cache_schema_version", "model_id", "prompt_version", "latency_ms", "input_image_sha256", "source_image_sha256",
     "category", "raw_response_text", "parsed_annotation", "validation_outcome", "validation_errors",
@@ -32,12 +33,21 @@ def with_content(picks: DataFrame, root: str, glob: str = "*.jpg") -> DataFrame:
     return picks.join(files.select("path", "content"), "path").withColumn("sha256", F.sha2("content", 256))
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, row, value): a file's lines are in order of block and row."""
+    raw = spark.read.text(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+
+
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): numbered lines of text files. A file's lines are numbered by one task;
-    manifests are small next to the data that they name."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("__i"))
-    order = Window.partitionBy("file").orderBy("__i")
-    return raw.select("file", F.row_number().over(order).alias("line_no"), "value")
+    """(file, line_no, value): numbered lines of text files. Lines are numbered within the blocks in
+    which Spark reads a file, and moved on by the counts of the blocks before."""
+    raw = _placed(spark, path)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    base = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("row"))
+    return raw.withColumn("nth", nth).join(base, ["file", "block"]).select("file", (F.col("base") + F.col("nth")).cast("int").alias("line_no"), "value")
 
 
 def categories(spark: SparkSession, path: str) -> DataFrame:
@@ -61,19 +71,60 @@ def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tu
 
 
 def keyed_jsonl(spark: SparkSession, path: str, schema: StructType | str, key: str = "key") -> DataFrame:
-    """Objects by key: blank lines are skipped, the last of equal keys wins."""
-    lines = lines_of(spark, path).where(strip(F.col("value")) != "")
-    rows = lines.select("file", "line_no", F.from_json("value", schema).alias("r"))
-    last = rows.groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", F.struct("file", "line_no")).alias("r"))
+    """Objects by key: blank lines are skipped, the last of equal keys wins. Lines that are no JSON
+    object, and objects without the key, are for `keyed_errors` to tell."""
+    rows = _placed(spark, path).where(F.json_object_keys("value").isNotNull() & F.try_parse_json("value").isNotNull())
+    rows = rows.select(F.struct("file", "block", "row").alias("place"), F.from_json("value", schema).alias("r"))
+    last = rows.where(F.col(f"r.{key}").isNotNull()).groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", "place").alias("r"))
     return last.select("r.*")
 
 
+def keyed_errors(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """(file, line_no, error) of the lines that `keyed_jsonl` passes over, but for blank ones."""
+    lines = lines_of(spark, path).where(strip(F.col("value")) != "")
+    parsed = F.try_parse_json("value")
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+    error = (
+        F.when(parsed.isNull(), "invalid JSON").when(F.json_object_keys("value").isNull(), "not an object").when(F.coalesce(kind, F.lit("VOID")) == "VOID", f"no {key}")
+    )
+    return lines.select("file", "line_no", error.alias("error")).where("error is not null")
+
+
+def json_object(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The object of a whole JSON file in one row; raises when it is read if it is none."""
+    text = spark.read.text(path, wholetext=True)
+    fine = F.json_object_keys("value").isNotNull() & F.try_parse_json("value").isNotNull()
+    message = F.concat(F.lit("Expected a JSON object in "), F.col("_metadata.file_path"))
+    return text.select(F.from_json(F.when(fine, F.col("value")).otherwise(F.raise_error(message)), schema).alias("r")).select("r.*")
+
+
+GENERATION = "prompt_id string, prompt string, seed int, condition string, guidance_scale double, num_inference_steps int, width int, height int, output_path string"
+
+
+def generation_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of a generation manifest: broken lines, and pairs that are not whole or whose
+    controlled fields differ. Relative output paths are taken from the manifest's folder."""
+    from ..operators.evaluation import pair_errors
+
+    rows, bad = strict_jsonl(spark, path, GENERATION)
+    folder = path.rstrip("/").rpartition("/")[0]
+    given = F.col("output_path")
+    rows = rows.withColumn("output_path", F.when(given.startswith("/") | given.rlike(r"^[a-z0-9]+:"), given).otherwise(F.concat(F.lit(folder + "/"), given)))
+    told = pair_errors(rows).select(F.concat_ws("/", "prompt_id", "seed").alias("place"), "error")
+    return rows, bad.select(F.concat_ws(":", "file", "line_no").alias("place"), "error").unionByName(told)
+
+
 def prompts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(id, prompt) rows and the errors of lines, fields, tags and ids."""
     from ..operators.evaluation import prompt_errors
 
-    rows, bad = strict_jsonl(spark, path, "id string, prompt string")
-    found = rows.select("id", "prompt")
+    # read as variants, for a number would pass as a string otherwise
+    rows, bad = strict_jsonl(spark, path, "id variant, prompt variant")
+    text = lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+    found = rows.select(text("id").alias("id"), text("prompt").alias("prompt"))
+    none = rows.limit(1).count() == 0 and bad.limit(1).count() == 0
+    if none:
+        raise ValueError(f"no prompts in {path}")
     told = bad.select(F.concat_ws(":", "file", "line_no").alias("id"), "error").unionByName(prompt_errors(found))
     return found, told
 

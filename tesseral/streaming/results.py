@@ -1,4 +1,4 @@
-"""Batch results as a stream of landed files: each file once, each key once, late ones merged."""
+"""Batch results as a stream of landed files: each file once, the last result of a key counts."""
 
 from __future__ import annotations
 
@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from ..operators.annotation import parsed
 from ..operators.batches import response_text
+from ..operators.cache import upsert
 
 RESULT = "key string, response string, error string"
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the result lines of files that land under `path`, first of equal keys."""
-    lines = spark.readStream.format("text").load(path).where("trim(value) <> ''")
-    rows = lines.select(F.from_json("value", RESULT).alias("r")).select("r.*")
-    return rows.where("key is not null").dropDuplicates(["key"])
+    """A stream of the result lines of files that land under `path`, with the place of each. Nothing is
+    remembered from file to file: later results replace earlier ones in the cache."""
+    lines = spark.readStream.format("text").load(path)
+    rows = lines.select("value", F.struct("_metadata.file_name", "_metadata.file_block_start").alias("place")).where("trim(value) <> ''")
+    return rows.select(F.from_json("value", RESULT).alias("r"), "place").select("r.*", "place").where("key is not null")
 
 
 def collect(spark: SparkSession, path: str, cache_path: str, checkpoint: str) -> None:
-    """Takes in all files that have landed since the last call and appends their validated
-    annotations to the cache table. Offsets and keys are in the checkpoint, so a lost driver or
-    executor repeats at most the batch that was running; each batch overwrites its own folder."""
+    """Takes in all files that have landed since the last call and puts their validated annotations
+    into the cache table, the last of a key by file and place. Offsets are in the checkpoint, so a
+    lost driver or executor repeats at most the batch that was running, to the same table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        texts = batch.withColumn("raw_response_text", response_text(F.col("response")))
-        parsed(texts).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
+        placed = batch.withColumn("at", F.struct("place", F.monotonically_increasing_id()))
+        last = placed.groupBy("key").agg(F.max_by(F.struct("response", "error"), "at").alias("r")).select("key", "r.*")
+        upsert(parsed(last.withColumn("raw_response_text", response_text(F.col("response")))), cache_path, "key")
 
     query = landed(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -97,3 +97,7 @@ def test_results_stream(spark, tmp_path):
     results.collect(spark, str(tmp_path / "in"), str(tmp_path / "cache"), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "cache")).select("key", "raw_response_text", "validation_errors").collect()
     assert sorted(r.key for r in got) == ["a", "b"] and all("not valid JSON" in r.validation_errors[0] for r in got)
+    later = {"candidates": [{"content": {"parts": [{"text": "{}"}]}}]}
+    write(tmp_path / "in/result-002.jsonl", line("a") + json.dumps({"key": "a", "response": json.dumps(later)}))
+    results.collect(spark, str(tmp_path / "in"), str(tmp_path / "cache"), str(tmp_path / "ck"))
+    assert {r.key: r.raw_response_text for r in spark.read.parquet(str(tmp_path / "cache")).collect()} == {"a": "{}", "b": "not json"}

@@ -56,8 +56,15 @@ def test_response_text_and_payload(spark):
     import base64
     import json
 
-    parts = json.loads(body)["contents"][0]["parts"]
-    assert parts[0]["text"] == 'see "cup"' and base64.b64decode(parts[1]["inlineData"]["data"]) == b"x" * 100
+    content = json.loads(body)["contents"][0]
+    image, text = content["parts"]
+    assert content["role"] == "user" and text["text"] == 'see "cup"' and base64.b64decode(image["inlineData"]["data"]) == b"x" * 100
+    schema = {"$defs": {"A": {"type": "string", "title": "A"}}, "type": "object", "properties": {"title": {"$ref": "#/$defs/A"}}}
+    body = df.limit(1).select(batches.payload(F.lit(b"x"), F.lit("cup"), "x", schema=schema)).first()[0]
+    assert json.loads(body)["generationConfig"] == {
+        "maxOutputTokens": 1024, "temperature": 0.0, "responseMimeType": "application/json", "thinkingConfig": {"thinkingBudget": 0},
+        "responseSchema": {"type": "object", "properties": {"title": {"type": "string"}}},
+    }
 
 
 def test_split_keeps_groups_whole(spark):
