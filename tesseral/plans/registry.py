@@ -390,6 +390,102 @@ def annotation_validate(spark, sf_dir):
     return _curated(spark, sf_dir).where("errors <> ''").select("conv_id", "errors")
 
 
+# what is changed in the response of a conversation, by its number modulo CHANGES
+CHANGES = 24
+PARSE_SQL = f"""{VIEW_SQL},
+m as (select conv_id, conv_id % {CHANGES} as m, pos, tile, hv, side, va, 'full object' as framing, 2 as n_features, false as blank, conf from v),
+x as (select conv_id, m, case when m = 15 then 3 - pos else pos end as i, case when m = 14 and pos = 1 then 'top_left' else tile end as tile,
+  case when m = 21 and pos = 1 then 'indeterminate' when m = 22 and pos = 2 then 'aslant' else hv end as hv, case when m = 21 and pos = 1 then 'left' else side end as side,
+  case when m = 16 and pos = 0 then 'sideways' else va end as va, case when m = 17 and pos = 1 then ' ' else framing end as framing,
+  case when m = 18 and pos = 2 then 0 else n_features end as n_features, m = 19 and pos = 3 as blank, case when m = 20 and pos = 0 then -1 else conf end as conf
+  from m where not (m = 12 and pos = 3)),
+y as (select * from x union all select * replace (4 as i) from x where m = 13 and i = 0),
+own as (select *, 'views.' || i as place, list_filter([
+  case when hv = 'aslant' then '.horizontal_view: Input should be one of the listed values' end,
+  case when va = 'sideways' then '.vertical_angle: Input should be one of the listed values' end,
+  case when trim(framing) = '' then '.framing: String should have at least 1 character' end,
+  case when n_features = 0 then '.visible_features: List should have at least 1 item' when blank then '.visible_features: String should have at least 1 character' end,
+  case when conf < 0 then '.confidence: Input should be greater than or equal to 0' when conf > 1 then '.confidence: Input should be less than or equal to 1' end], lambda e: e is not null) as es,
+  case when hv in ('front', 'back', 'top', 'bottom') and side <> 'neither' then ': Value error, side must be neither for ' || hv
+       when hv = 'indeterminate' and side <> 'indeterminate' then ': Value error, side must be indeterminate when horizontal_view is indeterminate' end as se from y),
+per as (select conv_id, m, i, case when len(es) > 0 then list_transform(es, lambda e: place || e) when se is not null then [place || se] else [] end as es from own),
+item as (select conv_id, any_value(m) as m, flatten(list(es order by i)) as es from per group by 1),
+p as (select conv_id, case m
+  when 0 then 'object_summary: Field required' when 1 then 'views: Input should be a valid list' when 2 then 'views.0.framing: Field required'
+  when 3 then 'views.1.framing: Input should be a valid string' when 4 then 'views.2.confidence: Input should be a valid number'
+  when 5 then 'views.3.extra: Extra inputs are not permitted' when 6 then 'more: Extra inputs are not permitted' when 7 then 'views.0: Input should be a valid dictionary'
+  when 8 then 'response is not valid JSON: it cannot be parsed' when 9 then 'Input should be a valid dictionary' when 10 then 'views.0.visible_features: Input should be a valid list of strings'
+  else array_to_string(list_concat(case when m = 11 then ['object_summary: String should have at least 1 character'] else [] end,
+    case when len(es) > 0 then es when m = 12 then ['views: List should have at least 4 items'] when m = 13 then ['views: List should have at most 4 items']
+      when m = 14 then ['Value error, view tile values must be unique'] when m = 15 then ['Value error, views must use canonical tile order'] else [] end), '; ') end as errors from item)"""
+
+
+def _changed_responses(spark, sf_dir) -> DataFrame:
+    """(conv_id, raw_response_text): the annotations as JSON text, each changed in one way or not at all."""
+    m = F.col("conv_id") % CHANGES
+    put = lambda old, new: lambda t: F.regexp_replace(t, old, F.lit(new))
+    changes = {  # by number: the view and what happens to its text
+        2: (0, put('"framing":"full object",', "")),
+        3: (1, put('"framing":"full object"', '"framing":5')),
+        4: (2, put('"confidence":[-0-9.E]+', '"confidence":"0.9"')),
+        5: (3, put('^.', '{"extra":1,')),
+        7: (0, lambda t: F.lit("3")),
+        10: (0, put(r'"visible_features":\[[^\]]*\]', '"visible_features":"x"')),
+        14: (1, put('"tile":"top_right"', '"tile":"top_left"')),
+        16: (0, put('"vertical_angle":"[a-z_]+"', '"vertical_angle":"sideways"')),
+        17: (1, put('"framing":"full object"', '"framing":" "')),
+        18: (2, put(r'"visible_features":\[[^\]]*\]', '"visible_features":[]')),
+        19: (3, put(r'"visible_features":\[[^\]]*\]', '"visible_features":[" "]')),
+        20: (0, put('"confidence":[-0-9.E]+', '"confidence":-1')),
+        21: (1, put('"horizontal_view":"[a-z_]+","side":"[a-z]+"', '"horizontal_view":"indeterminate","side":"left"')),
+        22: (2, put('"horizontal_view":"[a-z_]+"', '"horizontal_view":"aslant"')),
+    }
+
+    def text(v: Column, i: Column) -> Column:
+        out = F.to_json(v)
+        for number, (place, change) in changes.items():
+            out = F.when((m == number) & (i == place), change(F.to_json(v))).otherwise(out)
+        return out
+
+    views = F.transform("raw_views", text)
+    views = F.when(m == 12, F.slice(views, 1, 3)).when(m == 13, F.concat(views, F.slice(views, 1, 1))).when(m == 15, F.reverse(views)).otherwise(views)
+    listed = F.when(m == 1, F.lit('"no"')).otherwise(F.concat(F.lit("["), F.array_join(views, ","), F.lit("]")))
+    summary = F.when(m == 11, F.lit("  ")).otherwise(F.col("object_summary"))
+    head = F.when(m == 0, F.lit("{")).otherwise(F.concat(F.lit('{"object_summary":"'), summary, F.lit('",')))
+    whole = F.concat(head, F.lit('"views":'), listed, F.when(m == 6, F.lit(',"more":1')).otherwise(F.lit("")), F.lit("}"))
+    raw = F.when(m == 8, F.lit("not json")).when(m == 9, F.lit("[1]")).otherwise(whole)
+    return _annotated(spark, sf_dir).select("conv_id", raw.alias("raw_response_text"))
+
+
+@query(f"with {PARSE_SQL} select conv_id, errors from p")
+def annotation_parse(spark, sf_dir):
+    return A.parsed(_changed_responses(spark, sf_dir)).select("conv_id", F.array_join("validation_errors", "; ").alias("errors"))
+
+
+@query(
+    f"""with {PARSE_SQL}, k as (select *, row_number() over (order by conv_id) - 1 as n from (select conv_id from p where conv_id % 3 <> 0) a)
+select p.conv_id, (n // 100)::int as chunk, case when n is null then 'cached' when p.conv_id % 11 = 1 then 'error' when p.conv_id % 13 = 1 then 'no content' when p.conv_id % 17 = 1 then null else 'answered' end as status,
+  case when n is null or p.conv_id % 17 = 1 and p.conv_id % 11 <> 1 and p.conv_id % 13 <> 1 then null
+       when p.conv_id % 11 = 1 or p.conv_id % 13 = 1 or errors <> '' then 'invalid' else 'valid' end as validation_outcome
+from p left join k using (conv_id)"""
+)
+def batch_lifecycle(spark, sf_dir):
+    """Requests that no valid entry answers, their chunks, and what their results become."""
+    c = F.col("conv_id")
+    own = _changed_responses(spark, sf_dir).withColumn("key", F.lpad(c.cast("string"), 12, "0")).withColumn("category", F.lit("object"))
+    own = own.select("*", F.col("key").alias("cache_key"), F.sha2("key", 256).alias("composite_sha256"), F.array("key").alias("source_image_sha256"))
+    cached = own.where(c % 3 == 0).select("cache_key", F.array().cast("array<string>").alias("validation_errors"))
+    index, _ = batches.prepared(own.drop("raw_response_text"), cached, ["key"])
+    text = F.to_json(F.struct(F.col("raw_response_text").alias("text")))
+    response = F.when(c % 13 == 1, F.lit('{"candidates":[]}')).otherwise(F.concat(F.lit('{"candidates":[{"content":{"parts":['), text, F.lit("]}}]}")))
+    failed = c % 11 == 1
+    results = own.where(failed | (c % 13 == 1) | (c % 17 != 1)).select("key", F.lit(1).alias("ordinal"), F.when(~failed, response).alias("response"), F.when(failed, "quota").alias("error"))
+    results = results.join(index.where("chunk is not null").select("key"), "key", "left_semi")
+    got = batches.collected(index, results, model=MODEL).select("key", "status", "validation_outcome")
+    told = F.when(F.col("chunk").isNull(), "cached").otherwise(F.col("status"))
+    return index.join(got, "key", "left").select("conv_id", F.col("chunk").cast("int").alias("chunk"), told.alias("status"), "validation_outcome")
+
+
 @query(f"with {VIEW_SQL} select conv_id, reasons from o")
 def annotation_eligibility(spark, sf_dir):
     return _curated(spark, sf_dir).select("conv_id", "reasons")
