@@ -94,6 +94,50 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The contract's patterns as they stand there, groups not captured, by rank.
+BASE_PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+EACH_KIND = " union all ".join(
+    f"select t, '{k}' as kind, {i} as rank, regexp_extract_all(t, '{p}') as found, string_split_regex(t, '{p}') as parts from texts" for i, (k, p) in enumerate(BASE_PATTERNS)
+)
+OP5_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+texts as (select distinct t from d),
+kinds as ({EACH_KIND}),
+raw as (select t, kind, rank, n, found[n] as value, parts[n] as before, parts[n + 1] as after,
+          sum(length(parts[n]) + length(found[n])) over (partition by t, kind order by n) as stop from kinds, unnest(range(1, len(found) + 1)) as u(n)),
+dig as (select *, regexp_replace(value, '[^0-9]', '', 'g') as digits from raw),
+m as (select t, kind, rank, value, before, after, stop - length(value) as start, stop from dig where case kind
+  when 'ip' then list_max(list_transform(string_split(value, '.'), lambda x: x::hugeint)) <= 255
+  when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+    case when (length(digits) - i) % 2 = 0 then digits[i]::int when digits[i]::int > 4 then digits[i]::int * 2 - 9 else digits[i]::int * 2 end)) % 10 = 0
+  when 'phone' then length(digits) between 10 and 15 else true end),
+side as (select t, kind, value, right(before, {pii.CONTEXT_CHARS}) as c from m union all select t, kind, value, left(after, {pii.CONTEXT_CHARS}) from m),
+cut as (select t, kind, value, unnest(string_split_regex(c, '{pii.CUT}')[2:-2]) as w from side),
+core as (select distinct t, kind, value, lower(regexp_replace(w, '^{pii.JOINER}+|{pii.JOINER}+$', '', 'g')) as term from cut),
+terms as (select * from core where regexp_matches(term, '\p{{L}}') and not contains(term, '@')),
+tok as (select t, unnest(string_split_regex(t, '{pii.CUT}')) as w, unnest(range(0, len(string_split_regex(t, '{pii.CUT}')))) as i from texts),
+at_ as (select t, w, i + coalesce(sum(length(w)) over (partition by t order by i rows between unbounded preceding and 1 preceding), 0) as place,
+          regexp_replace(w, '^{pii.JOINER}+|{pii.JOINER}+$', '', 'g') as core, length(w) - length(regexp_replace(w, '^{pii.JOINER}+', '')) as lead_ from tok),
+n_t as (select lower(core) as term, count(distinct t) as n from at_ where lower(core) in (select term from terms) group by 1),
+n_e as (select kind, value, count(distinct t) as n from m group by 1, 2),
+n_et as (select kind, value, term, count(distinct t) as n from terms group by 1, 2, 3),
+told as (select distinct term from n_et join n_e using (kind, value) join n_t using (term), (select count(*) as n from texts) as every
+         where n_e.n < every.n and 1 + ln(n_et.n / greatest(n_t.n, n_et.n)::double) / ln(every.n::double / n_e.n) >= {pii.GENERALISE_FROM}),
+sp as (select t, kind, rank, start, stop from m union all
+       select t, 'term', {len(BASE_PATTERNS)}, place + lead_, place + lead_ + length(core) from at_ where lower(core) in (select term from told)),
+g as (select t, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (kind <> 'term'), '') as base,
+        {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k, _ in BASE_PATTERNS)} from sp group by 1)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k, _ in BASE_PATTERNS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (t)
+"""
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.dedupe(docs).select("doc_id", "class_id", "kept")
@@ -212,6 +256,7 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": OP2_SQL,
     "op4_source_mixing": OP4_SQL,
+    "op5_pii": OP5_SQL,
     "op7_license_scan": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_warc_fixity": OP9_SQL,
