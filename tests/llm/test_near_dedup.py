@@ -114,3 +114,48 @@ def test_a_passage_repeated_in_one_copy_only(spark):
         rows += [(2 * i, " ".join(words), ""), (2 * i + 1, " ".join(words[:90] * 100 + words[90:]), "")]
     got = near_dedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(24)}
+
+
+def test_a_document_with_two_texts(spark):
+    rng = random.Random(6)
+    a, b = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(2))
+    docs = spark.createDataFrame([(3, b, ""), (5, a, ""), (5, b, ""), (7, a, "")], SCHEMA)
+    got = {(r.doc_id, r.text): (r.class_id, r.kept) for r in near_dedup.dedupe(docs).collect()}
+    assert got == {(3, b): (3, True), (5, b): (3, False), (5, a): (5, True), (7, a): (5, False)}
+    assert sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()) == sorted([(3, b), (5, a)])
+
+
+def test_links_of_weighted_texts_are_found(spark):
+    """Pairs just above the similarity, one of which repeats a part of its shingles many times."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(120):
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(204)]
+        other = list(words)
+        other[-19:] = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(19)]
+        part = (80, 40)[i % 2]
+        other = other[:part] * (3, 6, 20)[i % 3] + other
+        rows += [(2 * i, " ".join(words), ""), (2 * i + 1, " ".join(other), "")]
+    links = [shared >= 0.8 * (len(x) + len(y) - shared) for x, y in ((shingle_set(rows[2 * i][1])[0], shingle_set(rows[2 * i + 1][1])[0]) for i in range(120)) for shared in [len(x & y)]]
+    assert sum(links) > 100
+    found = {r.doc_id: r.class_id for r in near_dedup.dedupe(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    lost = [i for i, link in enumerate(links) if link and found[2 * i] != found[2 * i + 1]]
+    assert len(lost) <= 0.01 * sum(links), lost
+
+
+def test_bounds_keep_every_link():
+    """Sets at any similarity: the parities never tell them further apart than they are."""
+    rng = np.random.default_rng(3)
+    for n, other in ((50, 5), (300, 40), (3000, 900), (1, 0), (40, 40)):
+        a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        b = np.concatenate([a[other:], rng.integers(1, 1 << 62, other).astype(np.uint64)])
+        odd = near_dedup.parities(np.concatenate([a, b]), np.array([0, n, 2 * n])).view(np.uint64)
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(*odd.tolist()))
+        assert bits <= 2 * other and (n > 1000 or bits >= 1.6 * other)
+
+
+def test_a_very_long_text_and_ties(spark):
+    long = " ".join(f"w{i % 977} x{i}" for i in range(60_000))
+    rows = [(1, long, ""), (2, long + " end", ""), (2, long + " end", ""), (9, "short", ""), (8, "short", ""), (8, "SHORT ", "")]
+    got = near_dedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (2, 1, False), (8, 8, True), (8, 8, True), (9, 8, False)]
