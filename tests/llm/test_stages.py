@@ -238,3 +238,22 @@ def test_working_names_are_free(spark):
     for run in (quality.judge, exact_dedup.dedupe, mixing.mix, near_dedup.dedupe, near_dedup.keep_one, line_dedup.dedupe, licenses.scan, pii.find, pii.sanitise):
         got = run(docs).collect()
         assert got and all(r[c] == c for r in got for c in names), run
+
+
+def test_pipeline_of_nothing_and_of_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 200), "en", None, None) for _ in range(3)] + [(None, None, None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert all(r.doc_id is None and r.length > 1 for r in got) and len(got) in (0, 3, 6, 9)
+
+
+def test_quality_of_a_very_long_text(spark):
+    own = [f"w{i}" for i in range(200_000)]
+    text = "\n".join(" ".join(own[i : i + 50]) for i in range(0, len(own), 50)) + "\n" + " ".join(own[:40])
+    (r,) = quality.judge(spark.createDataFrame([(1, text, "en", "a", 1)], DOCS)).collect()
+    assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.kept, r.clean_text) == (200_040, sum(map(len, own + own[:40])), 0, 80, True, text)
