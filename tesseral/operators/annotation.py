@@ -170,6 +170,32 @@ def caption(summary: Column, views: Column) -> Column:
     return F.when(F.size(eligibility_reasons(views)) == 0, text)
 
 
+def identity_caption(summary: Column, views: Column) -> Column:
+    """Object summary and visible features only, tile by tile."""
+    one = lambda v: F.concat(F.lit("["), F.upper(F.replace(v["tile"], F.lit("_"), F.lit("-"))), F.lit("] "), F.array_join(F.transform(v["visible_features"], strip), ", "))
+    return F.concat(F.lit("[FOUR-VIEWS] Four views of "), strip(summary), F.lit("; "), F.array_join(F.transform(views, one), "; "), F.lit("."))
+
+
+#: Words by which a caption would tell the pose.
+POSE_WORDS = r"(?i)\b(front|back|rear|side|top|bottom|left|right|three-quarter|overhead|underside|eye-level|high angle|low angle|indeterminate)\b"
+
+
+def exported(rows: DataFrame, policy: str, *, threshold: float = 0.0, summary: str = "object_summary", views: str = "views") -> DataFrame:
+    """`rows` that an export policy lets through. `benchmark` keeps all. `pose` wants every pose field
+    determinate and every view's confidence at the calibrated threshold at least. `identity` adds
+    identity_caption and export_error, which tells where it has a pose word beside the tiles' names."""
+    if policy == "benchmark":
+        return rows
+    if policy == "pose":
+        sure = F.forall(views, lambda v: F.coalesce(v["confidence"] >= threshold, F.lit(False)))
+        return rows.where((F.size(eligibility_reasons(F.col(views))) == 0) & sure)
+    if policy != "identity":
+        raise ValueError(f"unknown export policy {policy}")
+    text = identity_caption(F.col(summary), F.col(views))
+    told = F.regexp_replace(text, r"\[[A-Z-]+\]", "").rlike(POSE_WORDS)
+    return rows.withColumn("identity_caption", text).withColumn("export_error", F.when(told, F.lit("the caption tells the pose")))
+
+
 def routed(rows: DataFrame, summary: str = "object_summary", views: str = "views") -> DataFrame:
     """Adds validation_errors, rejection_reasons, outcome (failed, abstention or accepted) and caption."""
     out = rows.withColumn("validation_errors", errors(F.col(summary), F.col(views))).withColumn("rejection_reasons", eligibility_reasons(F.col(views)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,14 @@ def latency_report(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"))
 
 
+def usage_report(rows: DataFrame, group: list[str], prices: dict[str, float]) -> DataFrame:
+    """Calls, tokens and estimated cost of each group; `prices` has the price of a million tokens of
+    each token column. Missing counts are no tokens."""
+    n = {c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long") for c in prices}
+    cost = sum((n[c] * F.lit(p) / F.lit(1e6) for c, p in prices.items()), F.lit(0.0))
+    return rows.groupBy(*group).agg(F.count("*").alias("calls"), *(v.alias(c) for c, v in n.items()), cost.alias("cost"), ratio(cost, F.count("*")).alias("cost_per_call"))
+
+
 def select_model(models: DataFrame, gates: list[Column], order: list[Column]) -> DataFrame:
     """The first model that passes all gates, in order of the tie-breaks."""
     for gate in gates:
@@ -140,17 +149,25 @@ def holm(tests: DataFrame, ident: str, p_value: str) -> DataFrame:
     return scaled.withColumn("adjusted", adjusted).drop("__m", "__r", "__s")
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, *, resamples: int = 200, seed: str | int = 17) -> DataFrame:
+def bootstrap(rows: DataFrame, group: str | list[str], value: str, *, resamples: int = 200, seed: str | int = 17) -> DataFrame:
     """Percentile interval of the mean, resampling groups: each group is drawn a Poisson(1) number of
-    times per resample, by a seeded hash, so no rows are copied and resamples add up in one pass."""
-    sums = rows.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    times per resample, by a seeded hash, so no rows are copied and resamples add up in one pass.
+    Several columns are levels, outer ones first: a member is drawn as often as the product of what
+    all levels above it and its own are drawn."""
+    levels = [group] if isinstance(group, str) else list(group)
+    sums = rows.groupBy(*levels).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     cdf, total = [], 0.0
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
         cdf.append(total)
-    each = sums.select(group, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = F.conv(F.substring(seeded_key(seed, F.concat_ws("\n", F.col(group).cast("string"), F.col("resample").cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
-    times = F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c <= u))
+    each = sums.select(*levels, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+
+    def drawn(own: list[str]) -> Column:
+        name = F.concat_ws("\n", *(F.col(c).cast("string") for c in own), F.col("resample").cast("string"))
+        u = F.conv(F.substring(seeded_key(seed, name), 1, 13), 16, 10).cast("double") / float(16**13)
+        return F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c <= u))
+
+    times = reduce(lambda a, b: a * b, (drawn(levels[: i + 1]) for i in range(len(levels))))
     means = each.groupBy("resample").agg(ratio(F.sum(times * F.col("s")), F.sum(times * F.col("n"))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg("mean").alias("mean"))
 

@@ -25,6 +25,14 @@ def running(rows: DataFrame, order: list[str], value: str, name: str) -> DataFra
     return ranged.join(F.broadcast(base), "__part").withColumn(name, total).drop("__part", "__base")
 
 
+def zipped(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str], name: str = "ordinal") -> DataFrame:
+    """The i-th row of one side with the i-th of the other, each in its order; of a longer side the
+    rest has nulls beside it. Column names of both sides should differ."""
+    a, b = numbered(left, left_order, name), numbered(right, right_order, "__ordinal")
+    joined = a.join(b, F.col(name) == F.col("__ordinal"), "full")
+    return joined.withColumn(name, F.coalesce(name, "__ordinal")).drop("__ordinal")
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Adds the rows' number from 0 in a total order."""
     return running(rows.withColumn("__one", F.lit(1)), order, "__one", name).drop("__one")

@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key
+from .ordering import numbered
 
 # The names of the four places of a grid, in order.
 GRID_POSITIONS = ("TOP-LEFT", "TOP-RIGHT", "BOTTOM-LEFT", "BOTTOM-RIGHT")
 
 
-def evenly_spaced(rows: DataFrame, group: list[str], order: list[str], k: int = 4) -> DataFrame:
+def evenly_spaced(rows: DataFrame, group: list[str], order: list[str], k: int = 4, *, large_groups: bool = False) -> DataFrame:
     """k rows of each group of k or more, at places i * n div k in the order; adds pos (0..k-1) and
-    group_size. Only `rows`' columns travel: pick from keys first and join contents to the picks."""
-    part = Window.partitionBy(*group)
-    numbered = rows.withColumn("__at", F.row_number().over(part.orderBy(*order)) - 1).withColumn("group_size", F.count("*").over(part).cast("int"))
+    group_size. Only `rows`' columns travel: pick from keys first and join contents to the picks.
+    Groups are numbered by one task each; with `large_groups` all rows are numbered over all tasks."""
+    if large_groups:
+        every = numbered(rows, [*group, *order], "__n")
+        sizes = every.groupBy(*(F.col(g).alias(f"__{i}") for i, g in enumerate(group))).agg(F.min("__n").alias("__first"), F.count("*").cast("int").alias("group_size"))
+        same = reduce(lambda a, c: a & c, (F.col(g).eqNullSafe(F.col(f"__{i}")) for i, g in enumerate(group)))
+        placed = every.join(sizes, same).withColumn("__at", F.col("__n") - F.col("__first")).select(*rows.columns, "group_size", "__at")
+    else:
+        part = Window.partitionBy(*group)
+        placed = rows.withColumn("__at", F.row_number().over(part.orderBy(*order)) - 1).withColumn("group_size", F.count("*").over(part).cast("int"))
     # the only i that can have i * n div k equal to a place is the ceiling of place * k / n
     pos = F.expr(f"cast((__at * {k} + group_size - 1) div group_size as int)")
-    picked = numbered.withColumn("pos", pos).where(F.expr(f"group_size >= {k} and pos < {k} and cast(pos as bigint) * group_size div {k} = __at"))
+    picked = placed.withColumn("pos", pos).where(F.expr(f"group_size >= {k} and pos < {k} and cast(pos as bigint) * group_size div {k} = __at"))
     return picked.drop("__at")
 
 
@@ -37,6 +46,12 @@ def as_array(picks: DataFrame, group: list[str], fields: list[str], name: str =
     return picks.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias(name))
 
 
+def view_manifest(picks: DataFrame, group: list[str], *, path: str = "path", sha256: str = "sha256") -> DataFrame:
+    """One row per group: its picks as (position, filename, path, sha256) in order of pos."""
+    item = F.struct("pos", position_name(F.col("pos")).alias("position"), F.element_at(F.split(path, "/"), -1).alias("filename"), F.col(path).alias("path"), F.col(sha256).alias("sha256"))
+    return picks.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(item)), lambda v: v.dropFields("pos")).alias("views"))
+
+
 def position_name(pos: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, GRID_POSITIONS)), pos + 1)
 

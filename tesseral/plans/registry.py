@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import padded, seeded_key, sha_key
 from ..operators import annotation as A
 from ..operators import batches, evaluation, identity, layout, metrics, selection, splits
-from ..operators.ordering import numbered
+from ..operators.ordering import numbered, zipped
 
 MODEL = "annotator-1"
 QUERIES: dict = {}
@@ -67,7 +67,7 @@ SOURCE_PICKS_SQL = """sp as (select source, doc_id, text, pos from (
 def _source_picks(spark, sf_dir) -> DataFrame:
     # keys first: only the picked documents' texts are hashed
     docs = table(spark, sf_dir, "documents")
-    picked = selection.evenly_spaced(docs.select("source", "doc_id"), ["source"], ["doc_id"]).select("source", "doc_id", "pos")
+    picked = selection.evenly_spaced(docs.select("source", "doc_id"), ["source"], ["doc_id"], large_groups=True).select("source", "doc_id", "pos")
     return picked.join(docs.select("doc_id", "text"), "doc_id").select("source", "doc_id", "pos", F.sha2("text", 256).alias("sha256"))
 
 
@@ -81,6 +81,26 @@ def view_positions(spark, sf_dir):
     return _picks(spark, sf_dir).select("conv_id", "turn", "pos", selection.position_name(F.col("pos")).alias("position"))
 
 
+@query(
+    f"""with {PICKS_SQL} select conv_id, to_json(list({{'position': ['TOP-LEFT', 'TOP-RIGHT', 'BOTTOM-LEFT', 'BOTTOM-RIGHT'][pos + 1], 'filename': turn || '.jpg',
+  'path': conv_id || '/' || turn || '.jpg', 'sha256': sha256(conv_id || '/' || turn || '.jpg')}} order by pos))::varchar as views from picks group by 1"""
+)
+def view_manifests(spark, sf_dir):
+    path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".jpg"))
+    picks = _picks(spark, sf_dir).withColumn("path", path).withColumn("sha256", F.sha2("path", 256))
+    return selection.view_manifest(picks, ["conv_id"]).select("conv_id", F.to_json("views").alias("views"))
+
+
+@query(
+    """with a as (select n_nationkey, row_number() over (order by n_name) - 1 as i from nation), b as (select r_regionkey, row_number() over (order by r_regionkey desc) - 1 as i from region)
+select i::bigint as ordinal, n_nationkey, r_regionkey from a left join b using (i)"""
+)
+def positional_zip(spark, sf_dir):
+    nations, regions = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region").select("r_regionkey")
+    backwards = regions.withColumn("o", -F.col("r_regionkey"))
+    return zipped(nations, ["n_name"], backwards, ["o"]).select("ordinal", "n_nationkey", "r_regionkey")
+
+
 @query("select user_id, event_type, arg_max(value, (ts, event_id)) as value from events group by 1, 2")
 def last_wins(spark, sf_dir):
     return selection.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", ["ts", "event_id"])
@@ -491,6 +511,20 @@ def annotation_eligibility(spark, sf_dir):
     return _curated(spark, sf_dir).select("conv_id", "reasons")
 
 
+@query(
+    f"""with {VIEW_SQL}, i as (select conv_id, bool_and(hv <> 'indeterminate' and side <> 'indeterminate' and va <> 'indeterminate' and conf >= 0.2) as pose,
+  '[FOUR-VIEWS] Four views of conversation ' || conv_id || '; ' || string_agg('[' || upper(replace(tile, '_', '-')) || '] ' || role || ' turn, turn ' || turn, '; ' order by pos) || '.' as cap
+  from v group by 1)
+select conv_id, 'pose' as policy, null::varchar as identity_caption, null::varchar as export_error from i where pose union all select conv_id, 'identity', cap, null from i
+union all select conv_id, 'benchmark', null, null from i"""
+)
+def export_policies(spark, sf_dir):
+    rows = _annotated(spark, sf_dir).select("conv_id", "object_summary", A.normalise(F.col("raw_views")).alias("views"))
+    own = lambda p: A.exported(rows, p, threshold=0.2).withColumn("policy", F.lit(p))
+    every = own("identity").unionByName(own("pose"), allowMissingColumns=True).unionByName(own("benchmark"), allowMissingColumns=True)
+    return every.select("conv_id", "policy", "identity_caption", "export_error")
+
+
 @query(f"with {VIEW_SQL} select conv_id, cap as caption from o where outcome = 'accepted'")
 def caption_render(spark, sf_dir):
     return _curated(spark, sf_dir).where("outcome = 'accepted'").select("conv_id", "caption")

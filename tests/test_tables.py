@@ -13,6 +13,8 @@ def test_even_spacing_for_every_size(spark):
     picked = selection.evenly_spaced(spark.createDataFrame(rows, "g int, i int"), ["g"], ["i"]).collect()
     want = {(n, k, k * n // 4) for n in range(4, 41) for k in range(4)}
     assert {(r.g, r.pos, r.i) for r in picked} == want
+    again = selection.evenly_spaced(spark.createDataFrame(rows, "g int, i int"), ["g"], ["i"], large_groups=True).collect()
+    assert {(r.g, r.pos, r.i, r.group_size) for r in again} == {(n, k, i, n) for n, k, i in want}
     assert selection.short_groups(spark.createDataFrame(rows, "g int, i int"), ["g"]).count() == 3
 
 
@@ -159,3 +161,14 @@ def test_annotators_are_called_for_misses_only(spark):
     got = {r.cache_key: (r.raw_response_text, r.cached) for r in annotators.memoised(rows, cache, lambda m: annotators.annotate(m, factory)).collect()}
     assert got == {"k1": ("kept", True), "k2": (None, False), "k3": ("pot:c3", False)}
     assert annotators.recorded(rows, cache).where("error is null").count() == 1
+
+
+def test_usage_levels_and_positions(spark):
+    calls = spark.createDataFrame([("a", 100, 10), ("a", None, 30), ("b", 5, 5)], "model string, tokens_in int, tokens_out int")
+    got = {r.model: (r.calls, r.tokens_in, r.tokens_out, round(r.cost, 9), round(r.cost_per_call, 9)) for r in metrics.usage_report(calls, ["model"], {"tokens_in": 2.0, "tokens_out": 10.0}).collect()}
+    assert got == {"a": (2, 100, 40, 0.0006, 0.0003), "b": (1, 5, 5, 0.00006, 0.00006)}
+    rows = spark.range(400).selectExpr("id % 10 as p", "id div 10 % 8 as s", "cast(id % 10 as double) as v")
+    flat, deep = metrics.bootstrap(rows, "p", "v").first(), metrics.bootstrap(rows, ["p", "s"], "v").first()
+    assert flat.low < 4.5 < flat.high and deep.low < 4.5 < deep.high
+    left, right = spark.createDataFrame([("b",), ("a",), ("c",)], "x string"), spark.createDataFrame([(2,), (1,)], "y int")
+    assert [(r.ordinal, r.x, r.y) for r in ordering.zipped(left, ["x"], right, ["y"]).orderBy("ordinal").collect()] == [(0, "a", 1), (1, "b", 2), (2, "c", None)]
