@@ -155,12 +155,12 @@ def bootstrap(rows: DataFrame, group: str | list[str], value: str, *, resamples:
     Several columns are levels, outer ones first: a member is drawn as often as the product of what
     all levels above it and its own are drawn."""
     levels = [group] if isinstance(group, str) else list(group)
-    sums = rows.groupBy(*levels).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    sums = rows.groupBy(*levels).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
     cdf, total = [], 0.0
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
         cdf.append(total)
-    each = sums.select(*levels, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    each = sums.select(*levels, "__s", "__n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
 
     def drawn(own: list[str]) -> Column:
         name = F.concat_ws("\n", *(F.col(c).cast("string") for c in own), F.col("resample").cast("string"))
@@ -168,7 +168,7 @@ def bootstrap(rows: DataFrame, group: str | list[str], value: str, *, resamples:
         return F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c <= u))
 
     times = reduce(lambda a, b: a * b, (drawn(levels[: i + 1]) for i in range(len(levels))))
-    means = each.groupBy("resample").agg(ratio(F.sum(times * F.col("s")), F.sum(times * F.col("n"))).alias("mean"))
+    means = each.groupBy("resample").agg(ratio(F.sum(times * F.col("__s")), F.sum(times * F.col("__n"))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg("mean").alias("mean"))
 
 
