@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.working import new_path, remove, settle, shared_dir, working
 
 __all__ = [
-    "BLOCK", "SPACE", "SPACE_CHARS", "content_keys", "fold", "has_word", "new_path", "paired", "partitions", "read_table",
+    "BLOCK", "SPACE", "SPACE_CHARS", "bound", "content_keys", "fold", "has_word", "new_path", "paired", "partitions", "read_table",
     "remove", "settle", "shared_dir", "shielded", "text_or_empty", "words_of", "working",
 ]
 
@@ -85,5 +85,10 @@ def fold(items: Column, kind: str, start: Column, step: Callable[[Column, Column
     return F.aggregate(blocks, first, outer, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]["all"]))))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,12 +8,11 @@ that count, and all copies are ordered by a second hash: a global shuffle that a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, partitions, settle, shielded, text_or_empty
+from .common import bound, fold, partitions, settle, shielded, text_or_empty
 
 #: Exponent of the default weights: a source's weight is its size to this power.
 SMOOTHING = 0.5
@@ -68,18 +67,13 @@ def cumulated(rate: Column) -> Column:
     none = F.array().cast("array<double>")
     up = lambda ks: fold(ks, "array<double>", F.lit(1.0), lambda p, k: (p * rate / k, F.array(p * rate / k)))
     down = lambda ks: fold(ks, "array<double>", F.lit(1.0), lambda p, k: (p * k / rate, F.array(p * k / rate)))
-    below = F.when(mode > low, _bound(F.sequence(mode, low + 1, F.lit(-1)), down)).otherwise(none)
-    terms = F.concat(F.reverse(below), F.array(F.lit(1.0)), _bound(F.sequence(mode + 1, high), up))
-    sums = _bound(terms, lambda ps: fold(ps, "array<double>", F.lit(0.0), lambda s, p: (s + p, F.array(s + p))))
-    scaled = _bound(sums, lambda all_: _bound(F.element_at(all_, -1), lambda last: F.transform(all_, lambda s: s / last)))
+    below = F.when(mode > low, bound(F.sequence(mode, low + 1, F.lit(-1)), down)).otherwise(none)
+    terms = F.concat(F.reverse(below), F.array(F.lit(1.0)), bound(F.sequence(mode + 1, high), up))
+    sums = bound(terms, lambda ps: fold(ps, "array<double>", F.lit(0.0), lambda s, p: (s + p, F.array(s + p))))
+    scaled = bound(sums, lambda all_: bound(F.element_at(all_, -1), lambda last: F.transform(all_, lambda s: s / last)))
     return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(scaled)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _below(cdf: str, u: str) -> Column:
     """How many numbers of a sorted array are not above u, by binary search."""
     steps = f"sequence(cast(ceil(log2(size({cdf}) + 1)) as int), 0, -1)"
