@@ -272,6 +272,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame, similarity: fl
     First each node's most promising pair is verified, then every pair that is still apart: so texts
     of one large group are mostly compared once each, and no link between different components is
     left out."""
+    if not pairs.limit(1).count():
+        return labels
     side = lambda x, y: pairs.select(F.col(x).alias("x"), F.struct("apart", F.col(y).alias("y")).alias("o"))
     best = side("a", "b").union(side("b", "a")).groupBy("x").agg(F.min("o").alias("o"))
     best = best.select(F.least("x", "o.y").alias("a"), F.greatest("x", "o.y").alias("b")).distinct()
@@ -343,8 +345,9 @@ def cluster(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         owned = rows.select("node", "key").join(labels, "node")
         split = owned.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         left = put(owned.join(split, "key").select("node").distinct())
-        mates = _prefix_pairs(put(sets.join(left, "node")), sketches, labels, similarity, put)
-        labels = _linked(put(_may_link(mates, sketches, similarity)), sets, labels, similarity, put)
+        if left.limit(1).count():
+            mates = _prefix_pairs(put(sets.join(left, "node")), sketches, labels, similarity, put)
+            labels = _linked(put(_may_link(mates, sketches, similarity)), sets, labels, similarity, put)
 
         own = texts.select("node", "k0", "k1", "first", "last").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         named = own.groupBy("comp").agg(F.min("first").alias("class_id"))
