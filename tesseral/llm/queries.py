@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, toxicity
-from .common import read_table
+from . import exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, toxicity
+from .common import new_path, read_table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +241,54 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "-ledger"))
+    of_kind = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *(of_kind(k).alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The contract's patterns as they stand there, groups not captured, letters in either case as classes.
+SECRET_PATTERNS = (
+    (
+        "assign",
+        r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+        r"""^[^:=]*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""",
+    ),
+    ("access", "AKIA[A-Z0-9]+", "^.{20}"),
+    ("hex", "[0-9a-f]+", "^.{24}"),
+)
+#: The operator's own rules, runs of characters without look-behind.
+PLAIN_RUNS = {"jwt": "[A-Za-z0-9_.-]+"}
+SECRET_RULES = (*SECRET_PATTERNS, *((r.kind, PLAIN_RUNS.get(r.kind, r.pattern), r.keep) for r in secrets.RULES if r.kind not in secrets.BASE))
+EACH_SECRET = " union all ".join(
+    f"select t, '{k}' as kind, {i} as rank, {_literal(keep)} as keep, regexp_extract_all(t, {_literal(p)}) as found, string_split_regex(t, {_literal(p)}) as parts from texts"
+    for i, (k, p, keep) in enumerate(SECRET_RULES)
+)
+OP12_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+texts as (select distinct t from d),
+kinds as ({EACH_SECRET}),
+raw as (select t, kind, rank, keep, found[n] as value, sum(length(parts[n]) + length(found[n])) over (partition by t, kind order by n) as stop
+        from kinds, unnest(range(1, len(found) + 1)) as u(n)),
+m as (select *, stop - length(value) as start from raw where regexp_matches(value, keep)),
+g as (select t, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < {len(SECRET_PATTERNS)}), '') as base,
+        {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k, _, _ in SECRET_PATTERNS)} from m group by 1)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k, _, _ in SECRET_PATTERNS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (t)
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -252,6 +300,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_secret_scan": op12_secret_scan,
 }
 ORACLES = {
     "op2_quality_rules": OP2_SQL,
@@ -261,4 +310,5 @@ ORACLES = {
     "op8_line_dedup": OP8_SQL,
     "op9_warc_fixity": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_secret_scan": OP12_SQL,
 }
