@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, toxicity
+from . import exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, toxicity, whitening
 from .common import new_path, read_table
 
 
@@ -241,6 +241,18 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    told = (model.n, model.explained, model.identity_error) if model else (0, [], 0.0)
+    each = whitening.apply(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    shares = F.lit(told[1]) if told[1] else F.array().cast("array<double>")
+    return each.select(
+        "vec_id", (F.col("i") + 1).alias("component"), F.lit(told[0]).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("i")).alias("explained"), F.lit(told[2]).alias("identity_error"),
+    )
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "-ledger"))
     of_kind = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
@@ -300,6 +312,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_secret_scan": op12_secret_scan,
 }
 ORACLES = {
