@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, toxicity, whitening
+from . import divergence, exact_dedup, fixity, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, toxicity, whitening
 from .common import new_path, read_table
 
 
@@ -300,6 +300,30 @@ select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k, _, _ in
 from d left join g using (t)
 """
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+OP13_SQL = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+tok as (select r, lang, source, w, count(*) as n from (select r, lang, source, unnest(ws) as w from d) group by all),
+kept as (select lang, w, sum(n)::hugeint as n from tok group by 1, 2 having count(*) >= {divergence.MIN_DOCS}),
+v as (select lang, count(*)::hugeint as v, sum(n)::hugeint as n from kept group by 1),
+g as (select distinct lang, source from d),
+c as (select tok.lang, source, tok.w, sum(tok.n)::hugeint as n from tok semi join kept on tok.lang = kept.lang and tok.w = kept.w group by 1, 2, 3),
+gn as (select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as n from g left join c using (lang, source) group by 1, 2),
+p as (select gn.lang, gn.source, kept.w, coalesce(c.n, 0) as n, 1 + ({divergence.UNIT}::hugeint * (coalesce(c.n, 0) + {divergence.SMOOTHING})) // (gn.n + {divergence.SMOOTHING} * v.v) as p
+      from gn join v using (lang) join kept using (lang) left join c on gn.lang = c.lang and gn.source = c.source and kept.w = c.w),
+q as (select lang, w, 1 + ({divergence.UNIT}::hugeint * (kept.n + {divergence.SMOOTHING})) // (v.n + {divergence.SMOOTHING} * v.v) as q from kept join v using (lang)),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.w = b.w and a.source <> b.source group by 1, 2, 3),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+          union all select p.lang, p.source, 'term', p.w, (p.p - q.q)::bigint from p join q on p.lang = q.lang and p.w = q.w where p.n > 0 and p.p > q.q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+select * from ranked where part = 'pair' or rank <= {divergence.TOP_TERMS}
+"""
+
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -314,6 +338,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_secret_scan": op12_secret_scan,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES = {
     "op2_quality_rules": OP2_SQL,
@@ -324,4 +349,5 @@ ORACLES = {
     "op9_warc_fixity": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op12_secret_scan": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
