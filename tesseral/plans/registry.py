@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import padded, seeded_key, sha_key
+from ..functions.typed_json import type_errors
 from ..operators import annotation as A
 from ..operators import batches, evaluation, identity, layout, metrics, selection, splits
 from ..operators.ordering import numbered, zipped
@@ -228,6 +229,33 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(props, "$.k", "int").alias("k"))
 
 
+# a string where an int belongs, a fraction, no key, a number beyond an int; numbers among tags and for the id; a key too many
+TYPED_SQL = """j as (select event_id, ('{"id": ' || case when event_id % 11 = 1 then event_id::varchar else '"' || event_id || '"' end
+  || case event_id % 7 when 1 then ', "user": "7"' when 2 then ', "user": 7.5' when 3 then '' when 4 then ', "user": 3000000000' when 5 then ', "user": null' else ', "user": ' || user_id end
+  || ', "tags": ["' || event_type || '"' || case when event_id % 5 = 1 then ', 3' else '' end || '], "props": ' || case when event_id % 13 = 1 then '[]' when event_id % 13 = 2 then '{"k": 1, "l": 2}' else props end || '}')::json as j from events),
+u as (select *, json_type(j, '$.id') as ti, json_type(j, '$.user') as tu, json_type(j, '$.tags[1]') as tt, json_type(j, '$.props') as tp from j)"""
+
+
+@query(
+    f"""with {TYPED_SQL} select event_id, concat_ws('; ', case when ti <> 'VARCHAR' then '$.id: expected string, got bigint' end,
+  case when tu is null then '$.user: missing' when tu = 'NULL' then '$.user: null' when tu = 'VARCHAR' then '$.user: expected int, got string' when tu = 'DOUBLE' then '$.user: expected int, got decimal'
+    when (j->>'$.user')::bigint > 2147483647 then '$.user: out of range for int' end,
+  case when tt <> 'VARCHAR' then '$.tags[1]: expected string, got bigint' end,
+  case when tp <> 'OBJECT' then '$.props: expected object, got array' when len(json_keys(j, '$.props')) > 1 then '$.props.l: not expected' end) as errors from u"""
+)
+def typed_json(spark, sf_dir):
+    n, lit = F.col("event_id"), F.lit
+    user = F.when(n % 7 == 1, ', "user": "7"').when(n % 7 == 2, ', "user": 7.5').when(n % 7 == 3, "").when(n % 7 == 4, ', "user": 3000000000').when(n % 7 == 5, ', "user": null')
+    text = F.concat(
+        lit('{"id": '), F.when(n % 11 == 1, n.cast("string")).otherwise(F.concat(lit('"'), n.cast("string"), lit('"'))), user.otherwise(F.concat(lit(', "user": '), F.col("user_id").cast("string"))),
+        lit(', "tags": ["'), "event_type", lit('"'), F.when(n % 5 == 1, ", 3").otherwise(""), lit('], "props": '),
+        F.when(n % 13 == 1, "[]").when(n % 13 == 2, '{"k": 1, "l": 2}').otherwise(F.col("props")), lit("}"),
+    )
+    schema = "id string not null, user int not null, tags array<string> not null, props struct<k:int not null> not null"
+    errors = type_errors(F.parse_json(text), schema, closed=True)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(errors, "; ").alias("errors"))
+
+
 @query("select event_id, event_type || '/' || props as response_text from events")
 def response_text(spark, sf_dir):
     part = lambda c: F.struct(c.alias("text"))

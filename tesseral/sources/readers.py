@@ -3,11 +3,14 @@ is opened outside Spark's own sources, so any store that Spark reads will do."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import stem, strip, suffix
+from ..functions.typed_json import type_errors
 from ..operators.identity import path_keys
 
 # The fields of a cache entry.
@@ -58,36 +61,47 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("obj_id").agg(F.max_by("category", "line_no").alias("category"))
 
 
-def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): objects by line, and (file, line_no, error) of every blank or broken line."""
-    lines = lines_of(spark, path)
-    parsed = F.try_parse_json(F.col("value"))
-    error = (
-        F.when(strip(F.col("value")) == "", "blank line").when(parsed.isNull(), "invalid JSON").when(F.json_object_keys("value").isNull(), "not an object")
-    )
-    checked = lines.withColumn("error", error)
-    rows = checked.where("error is null").select("line_no", F.from_json("value", schema).alias("r")).select("line_no", "r.*")
-    return rows, checked.where("error is not null").select("file", "line_no", "error")
+def _object_errors(text: Column, schema: StructType | str, optional: Collection[str], closed: bool) -> Column:
+    """An array with what is wrong with a line: one thing if it is no object, else its type errors."""
+    parsed = F.try_parse_json(text)
+    whole = F.when(parsed.isNull(), "invalid JSON").when(F.json_object_keys(text).isNull(), "not an object")
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(type_errors(parsed, schema, optional=optional, closed=closed))
+
 
+def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, optional: Collection[str] = (), closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): objects by line, and (file, line_no, error) for every blank or broken line and
+    every place where a value is not of the schema's type, out of its range, null where that may not
+    be, or missing (see `type_errors`). Nothing is coerced, and a line with an error gives no row."""
+    blank = strip(F.col("value")) == ""
+    told = F.when(blank, F.array(F.lit("blank line"))).otherwise(_object_errors(F.col("value"), schema, optional, closed))
+    checked = lines_of(spark, path).withColumn("errors", told)
+    rows = checked.where(F.size("errors") == 0).select("line_no", F.from_json("value", schema).alias("r")).select("line_no", "r.*")
+    return rows, checked.select("file", "line_no", F.explode("errors").alias("error"))
 
-def keyed_jsonl(spark: SparkSession, path: str, schema: StructType | str, key: str = "key") -> DataFrame:
+
+def keyed_jsonl(spark: SparkSession, path: str, schema: StructType | str, key: str = "key", *, optional: Collection[str] = (), closed: bool = False) -> DataFrame:
     """Objects by key: blank lines are skipped, the last of equal keys wins. Lines that are no JSON
-    object, and objects without the key, are for `keyed_errors` to tell."""
-    rows = _placed(spark, path).where(F.json_object_keys("value").isNotNull() & F.try_parse_json("value").isNotNull())
+    object, have no key or are not of the schema's types are for `keyed_errors` to tell."""
+    rows = _placed(spark, path).where(F.size(_object_errors(F.col("value"), schema, optional, closed)) == 0)
     rows = rows.select(F.struct("file", "block", "row").alias("place"), F.from_json("value", schema).alias("r"))
     last = rows.where(F.col(f"r.{key}").isNotNull()).groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", "place").alias("r"))
     return last.select("r.*")
 
 
-def keyed_errors(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
-    """(file, line_no, error) of the lines that `keyed_jsonl` passes over, but for blank ones."""
+def keyed_errors(
+    spark: SparkSession, path: str, key: str = "key", schema: StructType | str | None = None, *, optional: Collection[str] = (), closed: bool = False
+) -> DataFrame:
+    """(file, line_no, error) of the lines that `keyed_jsonl` passes over, but for blank ones; type
+    errors are told if the schema is given."""
     lines = lines_of(spark, path).where(strip(F.col("value")) != "")
     parsed = F.try_parse_json("value")
     kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
     error = (
         F.when(parsed.isNull(), "invalid JSON").when(F.json_object_keys("value").isNull(), "not an object").when(F.coalesce(kind, F.lit("VOID")) == "VOID", f"no {key}")
     )
-    return lines.select("file", "line_no", error.alias("error")).where("error is not null")
+    typed = type_errors(parsed, schema, optional=optional, closed=closed) if schema is not None else F.array().cast("array<string>")
+    every = F.when(error.isNotNull(), F.array(error)).otherwise(typed)
+    return lines.select("file", "line_no", F.explode(every).alias("error"))
 
 
 def json_object(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -102,8 +116,9 @@ GENERATION = "prompt_id string, prompt string, seed int, condition string, guida
 
 
 def generation_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, errors) of a generation manifest: broken lines, and pairs that are not whole or whose
-    controlled fields differ. Relative output paths are taken from the manifest's folder."""
+    """(records, errors) of a generation manifest: broken lines, fields that are missing or of another
+    type, and pairs that are not whole or whose controlled fields differ. Relative output paths are
+    taken from the manifest's folder."""
     from ..operators.evaluation import pair_errors
 
     rows, bad = strict_jsonl(spark, path, GENERATION)
@@ -129,14 +144,23 @@ def prompts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return found, told
 
 
-def cache_envelopes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(file, envelope text as `value`) of whole, complete cache files, and (file, error) of others."""
+#: The types of a cache entry's fields, for readers that are to check them.
+ENVELOPE = """cache_schema_version string not null, model_id string not null, prompt_version string not null, latency_ms double not null,
+input_image_sha256 string not null, source_image_sha256 array<string> not null, category string not null, raw_response_text string not null,
+parsed_annotation variant, validation_outcome string not null, validation_errors array<string> not null"""
+
+
+def cache_envelopes(spark: SparkSession, path: str, schema: StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(file, envelope text as `value`) of whole, complete cache files, and (file, error) of others.
+    With a schema (ENVELOPE) the fields' types are checked as well."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     gone = F.array_sort(F.array_except(F.array(*map(F.lit, ENVELOPE_KEYS)), F.json_object_keys("value")))
+    typed = type_errors(F.try_parse_json("value"), schema) if schema is not None else F.array().cast("array<string>")
     error = (
         F.when(F.try_parse_json("value").isNull(), "invalid JSON")
         .when(F.json_object_keys("value").isNull(), "not an object")
         .when(F.size(gone) > 0, F.concat(F.lit("missing keys: "), F.array_join(gone, ", ")))
+        .when(F.size(typed) > 0, F.array_join(typed, "; "))
     )
     checked = files.withColumn("error", error)
     return checked.where("error is null").drop("error"), checked.where("error is not null").select("file", "error")
