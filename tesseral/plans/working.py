@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,11 +42,37 @@ def new_path(spark: SparkSession, name: str = "") -> str:
     return path
 
 
+file_system = _file_system
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, at = _file_system(spark, path)
     return files.exists(at)
 
 
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file under a name that nothing has yet, as a whole: written beside it and renamed
+    without overwriting. False if the name is taken."""
+    files, at = _file_system(spark, path)
+    beside, jvm = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}"), spark._jvm
+    out = files.create(beside, False)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    kept = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kept[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(files.makeQualified(beside), files.makeQualified(at), kept)
+        return True
+    except Py4JJavaError as e:
+        files.delete(beside, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _file_system(spark, path)
     files.delete(at, True)
