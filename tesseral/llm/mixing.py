@@ -29,6 +29,11 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, UNIFORM_DIGITS), 16, 10).cast("double") / F.lit(float(16**UNIFORM_DIGITS))
 
 
+def identifier() -> Column:
+    """What a document is drawn by: its doc_id, and without one its text and source."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.concat_ws("\n", F.coalesce("source", F.lit("-")), text_or_empty()), 256))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, total: float | None = None) -> DataFrame:
     """(source, size, rate): a source's size in characters and how often its documents should
     appear on average, so that its share of `total` characters (the present total by default) is
@@ -94,8 +99,9 @@ def mix(
     numbers, which adaptive execution broadcasts while small and splits by skew otherwise. Nothing
     is capped: a hot source only has a lower rate.
 
-    Nulls: a null source is a source of its own, a null text has no size, a null doc_id hashes as
-    '-'. Repeated rows share one count, each of them appears that often. Empty table: empty result.
+    Nulls: a null source is a source of its own, a null text has no size; a document without doc_id is
+    drawn by its source and text. Repeated rows share one count, each of them appears that often. Empty
+    table: empty result.
     Input columns named mix_copy or mix_key are replaced; other columns are carried along.
     """
     docs = docs.drop("mix_copy", "mix_key")
@@ -103,14 +109,14 @@ def mix(
     low, _, _ = _reach(F.col("rate"))
     table = settle(rated.select(F.col("source").alias("__source"), low.alias("__low"), cumulated(F.col("rate")).alias("__cdf")))
     joined = docs.join(table, F.col("source").eqNullSafe(F.col("__source")), "left")
-    drawn = uniform(F.lit(f"{seed}-count"), F.col("doc_id"))
+    drawn = uniform(F.lit(f"{seed}-count"), identifier())
     copies = (
         joined.withColumn("__u", drawn)
         .withColumn("__n", F.col("__low") + _below("__cdf", "__u"))
         .where("__n > 0")
         .select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
     )
-    key = F.md5(F.concat_ws("\n", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("mix_copy").cast("string")))
+    key = F.md5(F.concat_ws("\n", F.lit(seed), identifier(), F.col("mix_copy").cast("string")))
     # digests are spread evenly, so their first digits tell the range: no splitters need be sampled
     n = partitions(docs.sparkSession)
     part = F.expr(f"cast(cast(conv(substring(mix_key, 1, 8), 16, 10) as bigint) * {n} div 4294967296 as int)")

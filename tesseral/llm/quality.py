@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency.
 
 Normalised lines are hashed, distinct documents are counted for each line and host, lines above the
-limits are removed, and documents that lose too much are rejected. A family of near copies repeats
-its lines in the same setting, a boilerplate line stands in many: so the settings must be above the
-limits, too.
+limits are removed, and documents that lose too much are rejected. Near copies count as one document:
+those that share most of their lines mostly share the least of their lines' hashes, by which they are
+counted, with several hashes so that no family depends on one.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, content_keys, has_word, paired, settle, shielded, text_or_empty, words_of
+from .common import SPACE_CHARS, bound, content_keys, has_word, paired, settle, shielded, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A line is common on a host when at least this many of the host's distinct documents have it and
-#: they are more than this percentage of them, and the same holds for its settings.
+#: they are more than this percentage of them; near copies count as one.
 COMMON_DOCS, COMMON_PERCENT = 5, 5
 #: A document is depleted when its common lines hold more than this percentage of its words.
 DEPLETED_PERCENT = 80
@@ -27,6 +27,10 @@ IN_LINE = r"[\x20\x09\x0B-\x0D]+"
 #: Tables of common lines of up to this many (16 bytes each) are broadcast to the rows.
 BROADCAST_LINES = 1_000_000
 LINES = "array<struct<l1:bigint,l2:bigint>>"
+#: Where near copies count once, so many groups of them must have a line, and more than the percentage
+#: of the host's groups, in most of the ways to tell near copies: as many parts of a line's SHA-256, of
+#: so many digits (48 bits), serve as its hashes.
+COMMON_GROUPS, GROUPINGS, DIGITS = 3, 5, 12
 
 
 def normalised_lines(text: Column) -> Column:
@@ -111,35 +115,38 @@ def _places(lines: str) -> Column:
 
 
 def common_lines(docs: DataFrame, *, host: str = "source", min_docs: int = COMMON_DOCS, percent: float = COMMON_PERCENT) -> DataFrame:
-    """(__host, __l1, __l2, n_docs) of the lines that are common on a host: so are the distinct
-    documents that have them, and the settings (lines with a word before and after) in which they
-    stand. Documents with equal text count once. Counts are combined before the shuffle; settings are
-    looked at only for lines that the documents leave."""
-    t1, t2 = content_keys(text_or_empty())
-    texts = docs.select(F.col(host).alias("__host"), t1.alias("__t1"), t2.alias("__t2"), F.filter(normalised_lines(text_or_empty()), lambda x: x != "").alias("__lines"))
-    sizes = texts.select("__host", "__t1", "__t2").distinct().groupBy("__host").agg(F.count("*").alias("n_host"))
-    sizes = settle(sizes.select(F.col("__host").alias("__h"), "n_host"))
+    """(__host, __l1, __l2) of the lines that are common on a host.
 
-    def above(counted: DataFrame) -> DataFrame:
-        sized = counted.where(F.col("n") >= min_docs).join(sizes, F.col("__host").eqNullSafe(F.col("__h")))
-        return sized.where(100 * F.col("n") > percent * F.col("n_host")).select("__host", "__l1", "__l2", "n")
+    First distinct texts are counted, combined before the shuffle; lines below the limits are out. What
+    is left is counted again, near copies once: by the least hash of the document's lines, as are the
+    host's documents. A line must be above the limits in most of the GROUPINGS such counts, where
+    COMMON_GROUPS takes the place of `min_docs` if that is more."""
+    t1, t2 = content_keys(text_or_empty())
+    lines = F.array_distinct(F.filter(normalised_lines(text_or_empty()), lambda x: x != ""))
+    texts = docs.select(F.col(host).alias("__host"), t1.alias("__t1"), t2.alias("__t2"), lines.alias("__lines"))
+    above = lambda least: (F.col("n") >= least) & (100 * F.col("n") > percent * F.col("n_host"))
+    sizes = texts.select(F.col("__host").alias("__h"), "__t1", "__t2").distinct().groupBy("__h").agg(F.count("*").alias("n_host"))
 
     # outer: Spark would else filter on the array's size before it, and build the array once more for that
-    each = texts.select("__host", "__t1", "__t2", F.explode_outer(F.array_distinct("__lines")).alias("line")).where(F.col("line").isNotNull())
+    each = texts.select("__host", "__t1", "__t2", F.explode_outer("__lines").alias("line")).where(F.col("line").isNotNull())
     l1, l2 = content_keys(F.col("line"))
-    documents = each.select("__host", l1.alias("__l1"), l2.alias("__l2"), "__t1", "__t2").distinct().groupBy("__host", "__l1", "__l2").agg(F.count("*").alias("n"))
-    able = settle(above(documents))
-    beside = texts.join(_by_host(able), F.col("__host").eqNullSafe(F.col("__h"))).withColumn("__at", _places("__lines"))
-    setting = lambda i: F.struct(
-        _line_key(F.get("__lines", i)).alias("line"),
-        *(k.alias(f"s{j}") for j, k in enumerate(content_keys(*(F.coalesce(F.get("__lines", i + d), F.lit("")) for d in (-1, 1))))),
-    )
-    stands = beside.where(F.size("__at") > 0).select("__host", F.explode(F.transform("__at", setting)).alias("s"))
-    stands = stands.select("__host", F.col("s.line.l1").alias("__l1"), F.col("s.line.l2").alias("__l2"), "s.s0", "s.s1")
-    settings = stands.distinct().groupBy("__host", "__l1", "__l2").agg(F.count("*").alias("n"))
-    varied = above(settings).select(F.col("__host").alias("__g"), F.col("__l1").alias("__m1"), F.col("__l2").alias("__m2"))
-    same = (F.col("__l1") == F.col("__m1")) & (F.col("__l2") == F.col("__m2")) & F.col("__host").eqNullSafe(F.col("__g"))
-    return able.join(varied, same, "left_semi").withColumnRenamed("n", "n_docs")
+    counted = each.select("__host", l1.alias("__l1"), l2.alias("__l2"), "__t1", "__t2").distinct().groupBy("__host", "__l1", "__l2").agg(F.count("*").alias("n"))
+    able = counted.where(F.col("n") >= min_docs).join(sizes, F.col("__host").eqNullSafe(F.col("__h"))).where(above(min_docs)).select("__host", "__l1", "__l2")
+    able = _by_host(able)
+
+    hashes = F.transform("__lines", lambda x: F.sha2(x, 256))
+    part = lambda k: lambda h: F.substring(h, 1 + DIGITS * k, DIGITS)
+    least = bound(hashes, lambda hs: F.array(*(F.array_min(F.transform(hs, part(k))) for k in range(GROUPINGS))))
+    grouped = texts.select("__host", "__lines", least.alias("__least"))
+    sizes = grouped.select(F.col("__host").alias("__h"), F.posexplode("__least").alias("k", "g")).distinct().groupBy("__h", "k").agg(F.count("*").alias("n_host"))
+    sizes = sizes.withColumnRenamed("k", "__k")
+    beside = grouped.join(able, F.col("__host").eqNullSafe(F.col("__h"))).withColumn("__at", _places("__lines"))
+    found = beside.where(F.size("__at") > 0).select("__host", "__least", F.explode(F.transform("__at", lambda i: _line_key(F.get("__lines", i)))).alias("l"))
+    found = found.select("__host", F.col("l.l1").alias("__l1"), F.col("l.l2").alias("__l2"), F.posexplode("__least").alias("k", "g"))
+    counts = found.distinct().groupBy("__host", "__l1", "__l2", "k").agg(F.count("*").alias("n"))
+    sized = counts.join(sizes, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("k") == F.col("__k")))
+    most = sized.groupBy("__host", "__l1", "__l2").agg(F.count_if(above(min(min_docs, COMMON_GROUPS))).alias("n")).where(F.col("n") > GROUPINGS // 2)
+    return most.select("__host", "__l1", "__l2")
 
 
 @shielded

@@ -29,17 +29,21 @@ win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from w, unnest(
 rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) >= 2),
 cov as (select doc_id, count(distinct i + k) as n from rep, unnest(range(0, 8)) as v(k) group by 1),
 ln as (select doc_id, source, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d),
-lw as (select *, lag(norm, 1, '') over (partition by doc_id order by i) as pv, lead(norm, 1, '') over (partition by doc_id order by i) as nx
-       from (select doc_id, source, t, line, i,
+lw as (select doc_id, source, t, line, i,
          trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm,
          len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n
-       from ln where regexp_matches(line, '[^\x20\x09-\x0D]'))),
+       from ln where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup as (select doc_id, count(*) - count(distinct line) as n from lw group by 1),
+ks as (select unnest(range(0, {quality.GROUPINGS})) as k),
+grp as (select source, t, k, min(substring(sha256(norm), 1 + {quality.DIGITS} * k, {quality.DIGITS})) as grp from lw, ks group by 1, 2, 3),
 host as (select source, count(distinct t) as n from d group by 1),
-com as (select lw.source, norm from lw join host on lw.source is not distinct from host.source
-        group by lw.source, norm, host.n
-        having least(count(distinct lw.t), count(distinct (pv, nx))) >= {quality.COMMON_DOCS}
-          and 100 * least(count(distinct lw.t), count(distinct (pv, nx))) > {quality.COMMON_PERCENT} * host.n),
+hostk as (select d.source, d.k, count(distinct coalesce(grp, '')) as n from (select * from d, ks) d left join grp on d.source is not distinct from grp.source and d.t = grp.t and d.k = grp.k group by 1, 2),
+able as (select lw.source, norm from lw join host on lw.source is not distinct from host.source group by lw.source, norm, host.n
+         having count(distinct lw.t) >= {quality.COMMON_DOCS} and 100 * count(distinct lw.t) > {quality.COMMON_PERCENT} * host.n),
+ck as (select lw.source, lw.norm, grp.k from lw join able on lw.source is not distinct from able.source and lw.norm = able.norm
+       join grp on lw.source is not distinct from grp.source and lw.t = grp.t join hostk on lw.source is not distinct from hostk.source and grp.k = hostk.k
+       group by lw.source, lw.norm, grp.k, hostk.n having count(distinct grp) >= {min(quality.COMMON_DOCS, quality.COMMON_GROUPS)} and 100 * count(distinct grp) > {quality.COMMON_PERCENT} * hostk.n),
+com as (select source, norm from ck group by 1, 2 having 2 * count(*) > {quality.GROUPINGS}),
 hit as (select doc_id, i, n from lw join com on lw.source is not distinct from com.source and lw.norm = com.norm),
 lost as (select doc_id, sum(n) as n from hit group by 1),
 clean as (select ln.doc_id, coalesce(string_agg(line, chr(10) order by ln.i) filter (hit.doc_id is null), '') as t
@@ -75,9 +79,10 @@ r as (select source, case when size = 0 then 1.0 else weight * (select sum(size)
 p as (select source, rate, 0 as k, exp(-rate) as prob, exp(-rate) as cdf from r
       union all select source, rate, k + 1, prob * rate / (k + 1), cdf + prob * rate / (k + 1) from p
       where k < ceil(rate + {mixing.TAIL_ROOTS} * sqrt(rate) + {mixing.TAIL_STEPS})),
-d as (select doc_id, source, ('0x' || md5('{mixing.SEED}-count' || chr(10) || coalesce(doc_id::varchar, '-'))[1:{mixing.UNIFORM_DIGITS}])::bigint / (16.0::double ** {mixing.UNIFORM_DIGITS}) as u from documents),
-n as (select d.doc_id, d.source, count(p.k) as n from d join p on d.source is not distinct from p.source and p.cdf <= d.u group by 1, 2)
-select doc_id, source, c::int as mix_copy, md5('{mixing.SEED}' || chr(10) || coalesce(doc_id::varchar, '-') || chr(10) || c::varchar) as mix_key
+i as (select doc_id, source, coalesce(doc_id::varchar, sha256(coalesce(source, '-') || chr(10) || coalesce(text, ''))) as id from documents),
+d as (select *, ('0x' || md5('{mixing.SEED}-count' || chr(10) || id)[1:{mixing.UNIFORM_DIGITS}])::bigint / (16.0::double ** {mixing.UNIFORM_DIGITS}) as u from i),
+n as (select d.doc_id, d.source, d.id, count(p.k) as n from d join p on d.source is not distinct from p.source and p.cdf <= d.u group by 1, 2, 3)
+select doc_id, source, c::int as mix_copy, md5('{mixing.SEED}' || chr(10) || id || chr(10) || c::varchar) as mix_key
 from n, unnest(range(0, n)) as u(c)
 """
 
