@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import inlined
 from ..functions.text import base64_line, padded
+from ..plans.working import settle
 from .annotation import parsed
-from .cache import envelope
+from .cache import envelope, upsert
 from .ordering import numbered
 
 # States in which a job does not go on.
@@ -114,6 +115,32 @@ def collected(index: DataFrame, results: DataFrame, *, model: str) -> DataFrame:
     return envelope(read.drop("response").withColumn("model_id", F.lit(model)))
 
 
+def take_in(index: DataFrame, results: DataFrame, cache_path: str, *, model: str) -> DataFrame:
+    """Puts the answers among the results into the cache, by cache_key, and gives what is wrong as (key,
+    status, error): requests that failed, unknown keys, answers without content, and answers that break
+    the contract (`invalid`; they are in the cache with their errors). Only answers with a text replace
+    an entry, so a result that is an error leaves a valid one alone. Of requests with one cache key the
+    one with the least source hashes gives the entry."""
+    got = settle(collected(index, results, model=model))
+    beside = {"status", "error", "ordinal", "chunk", "input_file", "key", "cache_key"}
+    fields = [c for c in got.columns if c not in beside and c in _ENTRY]
+    answers = got.where(F.col("status") == "answered")
+    one = answers.groupBy("cache_key").agg(F.min_by(F.struct(*fields), "source_image_sha256").alias("r")).select("cache_key", "r.*")
+    upsert(one, cache_path)
+    broken = F.col("validation_outcome") != "valid"
+    told = got.where((F.col("status") != "answered") | broken)
+    status = F.when(F.col("status") == "answered", "invalid").otherwise(F.col("status"))
+    why = F.when(F.col("status") == "error", F.col("error")).when(F.col("status") == "answered", F.array_join("validation_errors", "; "))
+    return told.select("key", status.alias("status"), why.alias("error")).distinct()
+
+
+#: The fields of a cache entry.
+_ENTRY = {
+    "cache_schema_version", "model_id", "prompt_version", "latency_ms", "input_image_sha256", "source_image_sha256", "category", "raw_response_text",
+    "parsed_annotation", "validation_outcome", "validation_errors",
+}
+
+
 def collect_code(entries: DataFrame) -> DataFrame:
     """One row: 1 if a result has failed, belongs to no request or breaks the contract, else 0."""
     bad = (F.col("status") != "answered") | (F.col("validation_outcome") != "valid")

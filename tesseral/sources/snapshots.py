@@ -30,7 +30,7 @@ class Snapshot:
 
     version: int
     key: str
-    route: str
+    route: str | None
     columns: T.StructType
     writes: dict[int, str]
 
@@ -62,7 +62,8 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
 
 def _rows(spark: SparkSession, path: str, at: Snapshot, buckets: set[int] | None = None) -> DataFrame:
     """The rows of some buckets, with their bucket."""
-    schema = T.StructType([*(f for f in at.columns if f.name != at.route), T.StructField("write", T.StringType()), T.StructField("bucket", T.IntegerType()), at.columns[at.route]])
+    routes = [at.columns[at.route]] if at.route else []
+    schema = T.StructType([*(f for f in at.columns if f not in routes), T.StructField("write", T.StringType()), T.StructField("bucket", T.IntegerType()), *routes])
     paths = [f"{path}/data/write={w}/bucket={b}" for b, w in at.writes.items() if buckets is None or b in buckets]
     if not paths:
         return spark.createDataFrame([], schema)
@@ -82,9 +83,9 @@ def _publish(spark: SparkSession, path: str, at: Snapshot) -> bool:
     return write_new(spark, f"{path}/snapshots/{at.version:012d}.json", at.text())
 
 
-def upsert(fresh: DataFrame, path: str, *, key: str, route: str, removed: DataFrame | None = None) -> int:
+def upsert(fresh: DataFrame, path: str, *, key: str, route: str | None = None, removed: DataFrame | None = None) -> int:
     """Takes rows into the table and gives the version that has them. A row replaces that of its key,
-    whichever route that had; the keys in `removed` go. Only the buckets of these keys are written.
+    whichever value that had in the column `route`, by which files are kept apart; the keys in `removed` go. Only the buckets of these keys are written.
 
     `fresh` has one row per key, no null keys; of a key in both, the row stays. New columns are added
     with nulls in older rows. An update without rows publishes nothing. If the writer dies the last
@@ -112,7 +113,7 @@ def upsert(fresh: DataFrame, path: str, *, key: str, route: str, removed: DataFr
                     stays = known.join(rows.select(key).union(gone.select(key)), key, "left_anti")
                     table = rows.unionByName(stays, allowMissingColumns=True)
                 columns = T.StructType([f for f in table.schema if f.name != "bucket"])
-                table.repartition("bucket").write.partitionBy("bucket", route).parquet(f"{path}/data/write={written}")
+                table.repartition("bucket").write.partitionBy("bucket", *([route] if route else [])).parquet(f"{path}/data/write={written}")
                 files, place = file_system(spark, f"{path}/data/write={written}")
                 full = {int(s.getPath().getName().removeprefix("bucket=")) for s in files.listStatus(place) if s.getPath().getName().startswith("bucket=")}
             others = {b: w for b, w in at.writes.items() if b not in touched} if at else {}

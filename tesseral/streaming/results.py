@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import batches
 from ..operators.annotation import parsed
 from ..operators.batches import response_text
 from ..operators.cache import upsert
@@ -22,13 +25,35 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
 
 def collect(spark: SparkSession, path: str, cache_path: str, checkpoint: str) -> None:
     """Takes in all files that have landed since the last call and puts their validated annotations
-    into the cache table, the last of a key by file and place. Offsets are in the checkpoint, so a
-    lost driver or executor repeats at most the batch that was running, to the same table."""
+    into the cache table by result key, the last of a key by file and place, for callers that have no
+    request index. Results without a text, errors among them, replace nothing. Offsets are in the
+    checkpoint, so a lost driver or executor repeats at most the batch that was running, to the same
+    table."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        told = batch.withColumn("raw_response_text", F.when(F.col("error").isNull(), response_text(F.col("response")))).where("raw_response_text is not null")
+        last = _ordered(told).groupBy("key").agg(F.max_by(F.struct("response", "error", "raw_response_text"), "ordinal").alias("r")).select("key", "r.*")
+        upsert(parsed(last), cache_path, "key")
+
+    _run(landed(spark, path), merge, checkpoint)
+
+
+def take_in(spark: SparkSession, path: str, index_path: str, cache_path: str, checkpoint: str, errors_path: str, *, model: str) -> None:
+    """Takes in all result files that have landed since the last call, by the request index (a table as
+    `batches.prepared` gives it): answers go into the cache that `annotators.memoised` and
+    `batches.uncached` read, the rest to JSON lines under `errors_path`, by batch (see
+    `batches.take_in`). A repeated batch writes the same entries and errors again."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn("at", F.struct("place", F.monotonically_increasing_id()))
-        last = placed.groupBy("key").agg(F.max_by(F.struct("response", "error"), "at").alias("r")).select("key", "r.*")
-        upsert(parsed(last.withColumn("raw_response_text", response_text(F.col("response")))), cache_path, "key")
+        wrong = batches.take_in(spark.read.parquet(index_path), _ordered(batch), cache_path, model=model)
+        wrong.write.mode("overwrite").json(f"{errors_path.rstrip('/')}/batch={number}")
+
+    _run(landed(spark, path), merge, checkpoint)
+
+
+def _ordered(batch: DataFrame) -> DataFrame:
+    return batch.withColumn("ordinal", F.struct("place", F.monotonically_increasing_id().alias("n"))).drop("place")
+
 
-    query = landed(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def _run(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
