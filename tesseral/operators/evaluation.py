@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import padded, seeded_key
+from ..plans.working import settle
 from .ordering import numbered
+from .streams import two_way_shuffles
 
 # The evaluation's controlled settings.
 SEEDS = (1001, 1002)
@@ -87,6 +89,17 @@ def blinded(records: DataFrame, *, seed: int | str = 17) -> DataFrame:
     return joined.withColumn("blind_label", F.element_at(F.array(F.lit("A"), F.lit("B")), F.row_number().over(order)))
 
 
+def blinded_by_stream(records: DataFrame, *, seed: int = 17) -> DataFrame:
+    """As `blinded`, with the labels that one random stream gives, pair after pair: those of shuffling
+    each pair's conditions by `random.Random(seed)`."""
+    keys = settle(numbered(records.select("prompt_id", "seed").distinct(), ["prompt_id", "seed"], "__k"))
+    drawn = two_way_shuffles(records.sparkSession, seed, keys.count())
+    keys = keys.join(drawn, F.col("__k") == F.col("ordinal")).select(F.col("prompt_id").alias("__p"), F.col("seed").alias("__s"), (F.col("__k") + 1).cast("int").alias("pair_number"), "swapped")
+    joined = records.join(keys, F.col("prompt_id").eqNullSafe(F.col("__p")) & F.col("seed").eqNullSafe(F.col("__s"))).drop("__p", "__s")
+    first = (F.col("condition") == CONDITIONS[0]) != F.col("swapped")
+    return joined.withColumn("blind_label", F.when(first, "A").otherwise("B")).drop("swapped")
+
+
 def pair_id(number) -> F.Column:
     return F.concat(F.lit("pair-"), padded(number, 3))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio, seeded_key
+from ..plans.working import settle
+from .filters import bits_for, bloom, might_have
 from .ordering import numbered, running
 
 
@@ -88,6 +90,32 @@ def latency_report(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"))
 
 
+#: Size of a quantile sketch: rank errors stay within `rank_error(SKETCH)` with 99 % probability.
+SKETCH = 400
+
+
+def rank_error(k: int = SKETCH) -> float:
+    """The normalised rank error of one quantile from a sketch of size k (fixed values of the
+    published error curve)."""
+    return 2.296 / k**0.9723
+
+
+def latency_sketches(rows: DataFrame, group: list[str], value: str, *, k: int = SKETCH) -> DataFrame:
+    """(group, n, sketch): a mergeable quantile sketch of each group's values, a few kB however many
+    there are. To be stored by day and merged later."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, group: list[str]) -> DataFrame:
+    """Sketches of larger groups from those of their parts."""
+    return sketches.groupBy(*group).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, ranks: dict[str, float]) -> DataFrame:
+    """Quantiles of sketches, by name."""
+    return sketches.select(*(c for c in sketches.columns if c != "sketch"), *(F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(c) for c, q in ranks.items()))
+
+
 def usage_report(rows: DataFrame, group: list[str], prices: dict[str, float]) -> DataFrame:
     """Calls, tokens and estimated cost of each group; `prices` has the price of a million tokens of
     each token column. Missing counts are no tokens."""
@@ -109,11 +137,77 @@ def wilson_lower(hits: Column, n: Column, z: float = 1.6448536269514722) -> Colu
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def calibrated_threshold(rows: DataFrame, confidence: str, correct: str, *, precision: float = 0.9, coverage: float = 0.5) -> DataFrame:
-    """The lowest confidence from which the precision's lower bound and the coverage suffice."""
-    curve = risk_coverage(rows, confidence, correct)
-    hits = F.rint(F.col("answered") * (1 - F.col("risk")))
-    return curve.withColumn("lower", wilson_lower(hits, F.col("answered"))).where((F.col("lower") >= precision) & (F.col("coverage") >= coverage)).orderBy(confidence).limit(1)
+# The coefficients of the Lanczos approximation of the gamma function (g = 7).
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905,
+    -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function from 1 on."""
+    x = x.cast("double") - 1
+    series = reduce(lambda s, ic: s + F.lit(ic[1]) / (x + ic[0]), enumerate(LANCZOS[1:], 1), F.lit(LANCZOS[0]))
+    t = x + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x + 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def _fraction(x: Column, a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function, evaluated forwards. It needs about as
+    many terms as the root of the larger parameter."""
+    tiny, one = F.lit(1e-300), F.lit(1.0)
+    whole = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def term(acc: Column, factor: Column) -> Column:
+        d, c = one / whole(one + factor * acc["d"]), whole(one + factor / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    def step(acc: Column, m: Column) -> Column:
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.get(F.transform(F.array(term(acc, even)), lambda half: term(half, odd)), 0)
+
+    first = one / whole(one - (a + b) * x / (a + 1))
+    terms = F.sequence(F.lit(1), F.ceil(F.lit(60) + 6 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(terms, F.struct(one.alias("c"), first.alias("d"), first.alias("h")), step, lambda acc: acc["h"])
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b), a and b from 1 on."""
+    x, a, b = (c.cast("double") for c in (x, a, b))
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    direct = x < (a + 1) / (a + b + 2)
+    inside = F.when(direct, front * _fraction(x, a, b) / a).otherwise(1 - front * _fraction(1 - x, b, a) / b)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def exact_lower(hits: Column, n: Column, alpha: float = 0.05) -> Column:
+    """One-sided lower bound of a proportion after Clopper and Pearson: the proportion with which `hits`
+    or more of n come with probability alpha. Found by halving, to the last digits of a double."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["lo"] + acc["hi"]) / 2
+        return F.get(F.transform(F.array(incomplete_beta(middle, hits, n - hits + 1) < alpha), lambda low: F.struct(F.when(low, middle).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(middle).alias("hi"))), 0)
+
+    ends = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(52)), ends, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    return F.when(hits <= 0, 0.0).otherwise(found)
+
+
+def calibrated_threshold(rows: DataFrame, confidence: str, correct: str, *, precision: float = 0.9, coverage: float = 0.5, bound: str = "wilson") -> DataFrame:
+    """The lowest confidence from which the precision's one-sided 95 % lower bound and the coverage
+    suffice. The bound is Wilson's or, with `exact`, that of Clopper and Pearson; whether the exact one
+    suffices takes one tail probability at the wanted precision, so only the result's is searched for."""
+    if bound not in ("wilson", "exact"):
+        raise ValueError("the bound is wilson or exact")
+    curve = risk_coverage(rows, confidence, correct).where(F.col("coverage") >= coverage)
+    hits, n = F.rint(F.col("answered") * (1 - F.col("risk"))), F.col("answered")
+    if bound == "wilson":
+        return curve.withColumn("lower", wilson_lower(hits, n)).where(F.col("lower") >= precision).orderBy(confidence).limit(1)
+    near = curve.where(hits >= precision * n)
+    enough = near.where(incomplete_beta(F.lit(float(precision)), hits, n - hits + 1) <= 0.05)
+    return enough.orderBy(confidence).limit(1).withColumn("lower", exact_lower(hits, n))
 
 
 def stratified(rows: DataFrame, stratum: str, ident: str, fraction: float, *, seed: str | int = 17) -> DataFrame:
@@ -181,11 +275,22 @@ def decide(figures: DataFrame, gates: dict[str, Column]) -> DataFrame:
     return out.withColumn("passed", every)
 
 
-def without_benchmark(rows: DataFrame, hashes: str, benchmark: DataFrame, hash_column: str) -> DataFrame:
-    """Rows of which no content hash is in the benchmark. Only hashes are exploded and joined back."""
-    keyed = rows.withColumn("__key", F.xxhash64(F.to_json(F.struct(F.col(hashes)))))
-    hit = keyed.select("__key", F.explode(hashes).alias("__h")).join(benchmark.select(F.col(hash_column).alias("__h")), "__h", "left_semi").select("__key").distinct()
-    return keyed.join(hit, "__key", "left_anti").drop("__key")
+def without_benchmark(rows: DataFrame, hashes: str, benchmark: DataFrame, hash_column: str, *, bits: int | None = None) -> DataFrame:
+    """Rows of which no content hash is in the benchmark; a null or empty array has none.
+
+    The arrays are tested in place against a Bloom filter of the benchmark, of bounded size. Rows that
+    it clears go on where they are; of the few others, which are written down, the hashes are exploded
+    and settled by a join, so no row is dropped or kept wrongly however full the filter is.
+    """
+    known = benchmark.select(F.col(hash_column).alias("__h")).where("__h is not null").distinct()
+    bits = bits or bits_for(known.count())
+    of = bloom(known, "__h", bits).scalar()
+    maybe = F.coalesce(F.exists(hashes, lambda h: might_have(F.col("__filter"), h, bits)), F.lit(False))
+    tested = rows.withColumn("__filter", of).withColumn("__maybe", maybe).drop("__filter")
+    clear = tested.where(~F.col("__maybe")).drop("__maybe")
+    suspects = settle(tested.where("__maybe").drop("__maybe").withColumn("__id", F.monotonically_increasing_id()))
+    hit = suspects.select("__id", F.explode(hashes).alias("__h")).join(known, "__h", "left_semi").select("__id").distinct()
+    return clear.unionByName(suspects.join(hit, "__id", "left_anti").drop("__id"))
 
 
 def repeats(items: DataFrame, ident: str, times: int = 3, *, seed: str | int = 17) -> DataFrame:
