@@ -640,3 +640,158 @@ def cosine_pairs(spark, sf_dir):
 def latency_report(spark, sf_dir):
     out = metrics.latency_report(table(spark, sf_dir, "events"), ["event_type"], "value")
     return out.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@query(
+    """select event_type, count(*) as n, true as p50_within, true as p95_within from events where value is not null group by 1"""
+)
+def latency_sketch(spark, sf_dir):
+    """Quantiles from daily sketches that are merged, held against the ranks that they have in all rows."""
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    merged = metrics.merged_sketches(metrics.latency_sketches(events, ["day", "event_type"], "value"), ["event_type"])
+    found = metrics.sketched_quantiles(merged, {"p50": 0.5, "p95": 0.95})
+    ranked = events.where("value is not null").join(found.select(F.col("event_type").alias("e"), "p50", "p95"), F.col("event_type").eqNullSafe(F.col("e")))
+    # of equal values the quantile may be any, so its rank lies between those before and with it
+    near = lambda c, q: (F.avg((F.col("value") < F.col(c)).cast("double")) <= q + 2 * metrics.rank_error()) & (F.avg((F.col("value") <= F.col(c)).cast("double")) >= q - 2 * metrics.rank_error())
+    return ranked.groupBy("event_type").agg(F.count("*").alias("n"), near("p50", 0.5).alias("p50_within"), near("p95", 0.95).alias("p95_within"))
+
+
+@query("select count(*) as n, round(count(*) filter (where props::json->>'$.k' >= '5') / count(*)::double, 9) as valid_rate from events")
+def valid_rate(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
+    return metrics.valid_rate(table(spark, sf_dir, "events"), k >= "5").select("n", F.round("valid_rate", 9).alias("valid_rate"))
+
+
+CLAIMS_SQL = """a as (select l_orderkey, list(distinct l_returnflag || l_linestatus) as g, list(distinct l_returnflag || case when l_tax > 0.04 then 'O' else 'F' end) as p from lineitem group by 1),
+n as (select len(list_intersect(g, p)) as h, len(g) as g, len(p) as p from a)"""
+
+
+@query(f"with {CLAIMS_SQL} select round(sum(h) / sum(p)::double, 9) as precision, round(sum(h) / sum(g)::double, 9) as recall, round(avg(p), 9) as specificity, round((sum(p) - sum(h)) / sum(p)::double, 9) as hallucination_rate from n")
+def claims(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("g"), F.concat("l_returnflag", F.when(F.col("l_tax") > 0.04, "O").otherwise("F")).alias("p"))
+    sets = lines.groupBy("l_orderkey").agg(F.collect_set("g").alias("gold"), F.collect_set("p").alias("predicted"))
+    out = metrics.claims(sets, "gold", "predicted")
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+@query(
+    """with m as (select event_type as model, round(avg(value), 6) as latency, count(*) as n, round(count(*) filter (where value < 40) / count(*)::double, 6) as valid from events group by 1)
+select model, latency, n, valid from m where valid >= 0.5 and n > 10 order by valid desc, latency, model limit 1"""
+)
+def model_selection(spark, sf_dir):
+    valid = F.round(F.try_divide(F.count_if(F.col("value") < 40), F.count("*")), 6)
+    models = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.round(F.avg("value"), 6).alias("latency"), F.count("*").alias("n"), valid.alias("valid"))
+    return metrics.select_model(models, [F.col("valid") >= 0.5, F.col("n") > 10], [F.desc("valid"), F.col("latency"), F.col("model")])
+
+
+CURVE_SQL = """s as (select (l_discount * 100 + l_tax * 1000 / 8)::int / 40.0 as c, (l_returnflag <> 'R')::int as y from lineitem),
+d as (select c, count(*) as n, count(*) filter (where y = 0) as w from s group by 1),
+k as (select c, sum(n) over o as a, sum(w) over o as wrong from d window o as (order by c desc)),
+b as (select c, a, a / (select count(*) from lineitem)::double as coverage, wrong, 1 - wrong / a::double as p from k),
+l as (select *, (p + 2.7055434540954146 / (2 * a) - 1.6448536269514722 * sqrt(p * (1 - p) / a + 2.7055434540954146 / (4.0 * a * a))) / (1 + 2.7055434540954146 / a) as lower from b)"""
+
+
+@query(f"with {CURVE_SQL} select round(c, 6) as confidence, a::bigint as answered, round(coverage, 9) as coverage, round(wrong / a::double, 9) as risk, round(lower, 9) as lower from l where lower >= 0.6 and coverage >= 0.2 order by c limit 1")
+def calibrated_threshold(spark, sf_dir):
+    score = (F.col("l_discount") * 100 + F.col("l_tax") * 1000 / 8).cast("decimal(20,6)")
+    rows = table(spark, sf_dir, "lineitem").select((F.round(score, 0) / 40).cast("double").alias("c"), (F.col("l_returnflag") != "R").cast("int").alias("y"))
+    out = metrics.calibrated_threshold(rows, "c", "y", precision=0.6, coverage=0.2)
+    return out.select(F.round("c", 6).alias("confidence"), "answered", *(F.round(c, 9).alias(c) for c in ("coverage", "risk", "lower")))
+
+
+@query(
+    """with r as (select doc_id, quality, row_number() over (partition by quality order by sha256('17' || chr(10) || doc_id), doc_id) as r, count(*) over (partition by quality) as n from labels)
+select doc_id, quality from r where r <= round_even(n * 0.4, 0)"""
+)
+def stratified_split(spark, sf_dir):
+    return metrics.stratified(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.4)
+
+
+@query("select doc_id from documents where coalesce(sha256(text) not in (select sha256(text) from documents join labels using (doc_id) where toxic = 1 and text is not null), true) and coalesce(sha256(source) not in (select sha256(text) from benchmark), true)")
+def benchmark_exclusion(spark, sf_dir):
+    """Documents without the contents of labelled ones or of the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.sha2("source", 256).alias("s"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    known = docs.join(toxic, "doc_id").select("h").unionByName(table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("h")))
+    return metrics.without_benchmark(docs.select("doc_id", F.array("h", "s").alias("hashes")), "hashes", known, "h").select("doc_id")
+
+
+@query(
+    """with f as (select event_type, avg(value) as m, count(*) as n from events group by 1)
+select event_type, m > 20 as slow, n > 100 as enough, m > 20 and n > 100 as passed from f"""
+)
+def decision_gates(spark, sf_dir):
+    figures = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
+    return metrics.decide(figures, {"slow": F.col("m") > 20, "enough": F.col("n") > 100}).select("event_type", "slow", "enough", "passed")
+
+
+@query(
+    """with r as (select item_id, rep, sha256('17' || chr(10) || item_id || chr(10) || rep) as k from benchmark, unnest(range(0, 3)) as u(rep))
+select item_id, rep::int as repeat, row_number() over (order by k, item_id, rep) - 1 as place from r"""
+)
+def repeated_items(spark, sf_dir):
+    """Each item three times; its place in the interleaved order, which is that of the seeded keys."""
+    each = metrics.repeats(table(spark, sf_dir, "benchmark").select("item_id"), "item_id")
+    key = seeded_key(17, F.concat_ws("\n", F.col("item_id").cast("string"), F.col("repeat").cast("string")))
+    return numbered(each.withColumn("k", key), ["k", "item_id", "repeat"], "place").select("item_id", "repeat", "place")
+
+
+@query(
+    f"""with {PLAN_SQL}, kept as (select * from plan where not (prompt_id::int % 7 = 3 and condition = 'lora'))
+select prompt_id, seed::int as seed, max(prompt) filter (where condition = 'base') as base_prompt, max(prompt) filter (where condition = 'lora') as lora_prompt from kept group by 1, 2"""
+)
+def condition_pivot(spark, sf_dir):
+    kept = _plan(spark, sf_dir).where(~((F.col("prompt_id").cast("int") % 7 == 3) & (F.col("condition") == "lora")))
+    return evaluation.by_condition(kept).select("prompt_id", "seed", F.col("base.prompt").alias("base_prompt"), F.col("lora.prompt").alias("lora_prompt"))
+
+
+JOB_STATES = "case o_orderstatus when 'F' then 'JOB_STATE_SUCCEEDED' when 'O' then case when o_totalprice > 400000 then 'JOB_STATE_FAILED' else 'JOB_STATE_RUNNING' end else 'JOB_STATE_PENDING' end"
+
+
+@query(
+    f"""with j as (select o_orderpriority, {JOB_STATES} as s from orders), e as (select coalesce(max((s = 'JOB_STATE_FAILED')::int), 0) as bad, coalesce(max((s in ('JOB_STATE_RUNNING', 'JOB_STATE_PENDING'))::int), 0) as pending from j)
+select case when bad = 1 then 1 when pending = 1 then 2 else 0 end as exit_code from e"""
+)
+def job_exit_code(spark, sf_dir):
+    return batches.exit_code(table(spark, sf_dir, "orders").select(F.expr(JOB_STATES).alias("state")))
+
+
+@query(
+    """with s as (select conv_id, turn, role, sha256(text) as h from conversations),
+g as (select case when sum((role = 'user')::int) over (partition by conv_id) % 2 = 0 then 'train' else 'holdout' end as side, h from s)
+select h as value, count(*) as n from g group by 1 having count(distinct side) = 2"""
+)
+def nested_leakage(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.sha2("text", 256).alias("h"))
+    groups = turns.groupBy("conv_id").agg(F.collect_list("h").alias("hashes"), F.count_if(F.col("role") == "user").alias("users"))
+    sided = groups.select(F.when(F.col("users") % 2 == 0, "train").otherwise("holdout").alias("split"), "hashes")
+    return splits.nested_leakage(sided, "hashes").select("value", "n")
+
+
+@query(
+    """with p as (select item_id, case when item_id % 3 = 0 then '[FOUR-VIEWS] [TOP-LEFT] ' else '' end || text || case when item_id % 2 = 0 then ' [BOTTOM-LEFT]' else '' end as prompt from benchmark),
+t as (select item_id, prompt, list_filter(['[FOUR-VIEWS]', '[TOP-LEFT]', '[TOP-RIGHT]', '[BOTTOM-LEFT]', '[BOTTOM-RIGHT]'], lambda x: not contains(prompt, x)) as gone from p)
+select item_id::varchar as id, 'missing tags ' || array_to_string(gone, ', ') as error from t where len(gone) > 0"""
+)
+def prompt_tags(spark, sf_dir):
+    n = F.col("item_id")
+    prompt = F.concat(F.when(n % 3 == 0, "[FOUR-VIEWS] [TOP-LEFT] ").otherwise(""), "text", F.when(n % 2 == 0, " [BOTTOM-LEFT]").otherwise(""))
+    return evaluation.prompt_errors(table(spark, sf_dir, "benchmark").select(n.cast("string").alias("id"), prompt.alias("prompt")))
+
+
+@query(
+    """with m as (select event_id, event_id || case when event_id % 7 = 1 then '.jpg' else '.png' end as image, case when event_id % 5 = 1 then event_id + 1 else event_id end || '.txt' as caption from events),
+f as (select image as name from m where event_id % 11 <> 1 union select caption from m where event_id % 13 <> 1),
+s as (select *, string_split(image, '.')[1] as stem, string_split(caption, '.')[1] as cs from m),
+o as (select stem, case when image not like '%.png' then 'image and caption must be .png and .txt' when stem <> cs then 'image and caption stems differ' end as error from s)
+select stem, error from o where error is not null union all select stem, 'missing file ' || name as error from (select stem, unnest([image, caption]) as name from s) w where name not in (select name from f)"""
+)
+def pair_files(spark, sf_dir):
+    """Pair records made from events, some with other suffixes or stems, some without their files."""
+    n = F.col("event_id")
+    made = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(n.cast("string"), F.when(n % 7 == 1, ".jpg").otherwise(".png")).alias("output_image"),
+        F.concat(F.when(n % 5 == 1, n + 1).otherwise(n).cast("string"), F.lit(".txt")).alias("output_caption"),
+    )
+    files = made.where(n % 11 != 1).select(F.col("output_image").alias("name")).union(made.where(n % 13 != 1).select("output_caption")).distinct()
+    return splits.pair_errors(made, files)
