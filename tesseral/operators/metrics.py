@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio, seeded_key
 from ..plans.working import settle
-from .filters import bits_for, bloom, might_have
+from .filters import any_might, bits_for
 from .ordering import numbered, running
 
 
@@ -284,9 +284,7 @@ def without_benchmark(rows: DataFrame, hashes: str, benchmark: DataFrame, hash_c
     """
     known = benchmark.select(F.col(hash_column).alias("__h")).where("__h is not null").distinct()
     bits = bits or bits_for(known.count())
-    of = bloom(known, "__h", bits).scalar()
-    maybe = F.coalesce(F.exists(hashes, lambda h: might_have(F.col("__filter"), h, bits)), F.lit(False))
-    tested = rows.withColumn("__filter", of).withColumn("__maybe", maybe).drop("__filter")
+    tested = rows.withColumn("__maybe", any_might(known, "__h", bits, hashes))
     clear = tested.where(~F.col("__maybe")).drop("__maybe")
     suspects = settle(tested.where("__maybe").drop("__maybe").withColumn("__id", F.monotonically_increasing_id()))
     hit = suspects.select("__id", F.explode(hashes).alias("__h")).join(known, "__h", "left_semi").select("__id").distinct()

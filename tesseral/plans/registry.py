@@ -757,15 +757,13 @@ def job_exit_code(spark, sf_dir):
 
 
 @query(
-    """with s as (select conv_id, turn, role, sha256(text) as h from conversations),
-g as (select case when sum((role = 'user')::int) over (partition by conv_id) % 2 = 0 then 'train' else 'holdout' end as side, h from s)
-select h as value, count(*) as n from g group by 1 having count(distinct side) = 2"""
+    """with s as (select o_custkey, o_orderdate::date::varchar as d, count(*) over (partition by o_custkey) as n from orders)
+select d as value, count(*) as n from s group by 1 having count(distinct case when s.n % 2 = 0 then 'train' else 'holdout' end) = 2"""
 )
 def nested_leakage(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.sha2("text", 256).alias("h"))
-    groups = turns.groupBy("conv_id").agg(F.collect_list("h").alias("hashes"), F.count_if(F.col("role") == "user").alias("users"))
-    sided = groups.select(F.when(F.col("users") % 2 == 0, "train").otherwise("holdout").alias("split"), "hashes")
-    return splits.nested_leakage(sided, "hashes").select("value", "n")
+    days = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderdate").cast("date").cast("string")).alias("days"))
+    sided = days.select(F.when(F.size("days") % 2 == 0, "train").otherwise("holdout").alias("split"), "days")
+    return splits.nested_leakage(sided, "days").select("value", "n")
 
 
 @query(
