@@ -88,7 +88,7 @@ from n, unnest(range(0, n)) as u(c)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), meetings=pii.MEETINGS)
     of_kind = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("pii_spans", lambda s: s["kind"] != "term")
     return found.select(
@@ -132,7 +132,7 @@ n_t as (select lower(core) as term, count(distinct t) as n from at_ where lower(
 n_e as (select kind, value, count(distinct t) as n from m group by 1, 2),
 n_et as (select kind, value, term, count(distinct t) as n from terms group by 1, 2, 3),
 told as (select distinct term from n_et join n_e using (kind, value) join n_t using (term), (select count(*) as n from texts) as every
-         where n_e.n < every.n and 1 + ln(n_et.n / greatest(n_t.n, n_et.n)::double) / ln(every.n::double / n_e.n) >= {pii.GENERALISE_FROM}),
+         where n_e.n < every.n and (n_et.n >= {pii.MEETINGS} or n_t.n = 1) and 1 + ln(n_et.n / greatest(n_t.n, n_et.n)::double) / ln(every.n::double / n_e.n) >= {pii.GENERALISE_FROM}),
 sp as (select t, kind, rank, start, stop from m union all
        select t, 'term', {len(BASE_PATTERNS)}, place + lead_, place + lead_ + length(core) from at_ where lower(core) in (select term from told)),
 g as (select t, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
