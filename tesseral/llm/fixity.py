@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ FANOUT = 16
 #: Records of an archive, by their number; the levels of its tree before its root.
 ARCHIVE_RECORDS, LEVELS = 4096, 3
 ARCHIVE_ROOT = LEVELS + 1
+#: The number of records whose own cannot be read: that of an archive (-1) which only pages with
+#: numbers from -8191 to -4096 share.
+UNREADABLE = -ARCHIVE_RECORDS
+#: Bytes of the line that opens a record.
+OPENING = 10
 NODE = "level int, archive long, node long, parent_archive long, parent_node long, lo long, hi long, digest string"
 
 
@@ -47,21 +54,57 @@ def write_warc(records: DataFrame, path: str, *, archives: int | None = None) ->
     ordered.select(F.concat("record", F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
+def _owners(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Which piece of a file each of its pieces belongs to. A record ends where its length says if that
+    is where a piece begins, or the file ends; pieces before that stand in its body. A length that leads
+    anywhere else is damaged, and the record is its own piece."""
+    pieces = pieces.sort_values(["block", "id"])
+    size = OPENING + pieces["size"].to_numpy() + 4
+    begins = np.concatenate([[0], np.cumsum(size)])
+    begins[-1] -= 4  # the last piece has its closing line ends inside
+    ends = begins[:-1] + OPENING + pieces["head"].to_numpy() + 4 + pieces["announced"].to_numpy() + 4
+    at = np.searchsorted(begins, ends)
+    hit = (pieces["announced"].to_numpy() >= 0) & (at < len(begins)) & (begins[np.minimum(at, len(begins) - 1)] == ends)
+    owner, i = np.empty(len(pieces), np.int64), 0
+    while i < len(pieces):
+        after = max(int(at[i]), i + 1) if hit[i] else i + 1
+        owner[i:after] = i
+        i = after
+    ids, blocks = pieces["id"].to_numpy(), pieces["block"].to_numpy()
+    return pd.DataFrame({"file": pieces["file"], "block": blocks, "id": ids, "k": np.arange(len(ids)), "owner": owner})
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_no, record) of the WARC files that `write_warc` has written, or of a replica of them.
-    Files are split at the lines that open a record; a body's announced length tells whether closing
-    line ends follow it. A record whose number cannot be read any more has the number -1. No files
-    with records give an empty table."""
+
+    Files are read in pieces, from one line that opens a record to the next. Where a body quotes such a
+    line, the record's announced length tells which pieces are one record: only numbers are looked at
+    file by file, and only such records are put together. A record whose number cannot be read any more
+    has the number UNREADABLE, by which it has an archive of its own. No files with records give an
+    empty table."""
     opening = "WARC/1.0\r\n"
-    piece = F.regexp_replace("value", r"^WARC/1\.0\r\n", "")
-    pieces = spark.read.option("lineSep", "\r\n\r\n" + opening).text(path).where("value <> ''").select(piece.alias("value"))
-    body = F.substring_index("value", "\r\n\r\n", 1)
-    announced = F.regexp_extract(body, r"Content-Length: (\d+)", 1).try_cast("long")
-    found = F.octet_length("value") - F.octet_length(body) - 4
+    between = "\r\n\r\n" + opening
+    lines = spark.read.option("lineSep", between).text(path)
+    value = F.regexp_replace("value", r"^WARC/1\.0\r\n", "").alias("value")
+    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value)
+    head = F.substring_index("value", "\r\n\r\n", 1)
+    announced = F.coalesce(F.regexp_extract(head, r"Content-Length: (\d+)", 1).try_cast("long"), F.lit(-1).cast("long"))
+    sizes = pieces.select("file", "block", "id", F.octet_length("value").cast("long").alias("size"), F.octet_length(head).cast("long").alias("head"), announced.alias("announced"))
+    # numbers only; a replica's files are as many tasks as there are files
+    owners = settle(sizes.groupBy("file").applyInPandas(_owners, "file string, block long, id long, k long, owner long"))
+    split = owners.where("owner <> k").select("file", "owner").distinct()
+    whole = pieces.select("value")
+    if not split.isEmpty():
+        parts = pieces.join(owners.join(split, ["file", "owner"]), ["file", "block", "id"])
+        joined = parts.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda p: p["value"]), between).alias("value"))
+        own = owners.join(split, ["file", "owner"], "left_semi").select("file", "block", "id")
+        whole = pieces.join(own, ["file", "block", "id"], "left_anti").select("value").unionByName(joined.select("value"))
+    whole = whole.where("value <> ''")
+    found = F.octet_length("value") - F.octet_length(head) - 4
     closed = (found == announced + 4) & F.col("value").endswith("\r\n\r\n")
     record = F.when(closed, F.left("value", F.length("value") - 4)).otherwise(F.col("value"))
-    number = F.coalesce(F.regexp_extract(body, r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long"), F.lit(-1).cast("long"))
-    return pieces.select(number.alias("record_no"), F.concat(F.lit(opening), record).alias("record"))
+    number = F.coalesce(F.regexp_extract(head, r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long"), F.lit(UNREADABLE).cast("long"))
+    return whole.select(number.alias("record_no"), F.concat(F.lit(opening), record).alias("record"))
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -113,8 +156,9 @@ def _with_parent(nodes: DataFrame, level: int) -> DataFrame:
 
 
 def top_level(leaf: DataFrame) -> int:
-    """The level with the single root of a tree over these archives."""
-    most, level = leaf.agg(F.max("archive")).first()[0] or 0, ARCHIVE_ROOT
+    """The level with the single root of a tree over these archives. Numbers are divided towards zero,
+    so negative ones meet there as well."""
+    most, level = leaf.agg(F.max(F.abs("archive"))).first()[0] or 0, ARCHIVE_ROOT
     while most:
         most, level = most // FANOUT, level + 1
     return level

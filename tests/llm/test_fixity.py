@@ -81,3 +81,36 @@ def test_a_very_long_record(spark):
     records = fixity.warc_records(spark.createDataFrame([(1, "u", "é" * 2_000_000, ""), (2, "u", "", "")], PAGES))
     told = {r.record_no: (r.lo, r.hi, r.status) for r in fixity.report(records, fixity.warc_records(spark.createDataFrame([(1, "u", "é" * 1_999_999 + "e", ""), (2, "u", "", "")], PAGES))).collect()}
     assert told[1][2] == "corrupt" and told[1][1] == told[2][0] and told[2][2] == "moved" and told[1][1] > 4_000_000
+
+
+def test_negative_numbers_have_a_root(spark):
+    records = fixity.warc_records(spark.createDataFrame([(n, "u", f"h{n}", "") for n in (-100_000, -4096, -1, 0, 5000)], PAGES))
+    assert fixity.audit(records, records).collect() == []
+    assert {r.record_no: r.status for r in fixity.audit(records, records.where("record_no <> -100000")).collect()} == {-100_000: "missing"}
+
+
+def test_bodies_that_quote_records(spark, tmp_path):
+    inner = "<pre>\r\n\r\nWARC/1.0\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 999999\r\n\r\n</pre>"
+    rows = [(1, "u", inner, ""), (2, "u", "plain", ""), (3, "u", inner + "é" + inner, ""), (4, "u", "", ""), (5, "u", "ends\r\n\r\n", "")]
+    records = fixity.warc_records(spark.createDataFrame(rows, PAGES))
+    fixity.write_warc(records, f"{tmp_path}/w", archives=1)
+    read = fixity.read_warc(spark, f"{tmp_path}/w")
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, records.collect()))
+    assert fixity.audit(records, read).collect() == []
+
+
+def test_a_broken_header_blames_its_own_archive(spark, tmp_path):
+    records = fixity.warc_records(spark.createDataFrame([(n, "u", f"body {n}", "") for n in [*range(26), *range(4096, 4110)]], PAGES))
+    fixity.write_warc(records, f"{tmp_path}/w", archives=1)
+    for f in glob.glob(f"{tmp_path}/w/.*crc"):
+        os.remove(f)
+    for f in glob.glob(f"{tmp_path}/w/part-*"):
+        data = open(f, "rb").read()
+        # a number that cannot be read, and a length that leads nowhere
+        data = data.replace(b"<urn:page:4100>", b"<urn:page:41?0>").replace(b"Content-Length: 9\r\n\r\nbody 4102", b"Content-Length: 8\r\n\r\nbody 4102")
+        open(f, "wb").write(data)
+    told = fixity.audit(records, fixity.read_warc(spark, f"{tmp_path}/w")).collect()
+    assert not [r for r in told if r.archive == 0]
+    by = {r.record_no: r.status for r in told}
+    assert by[4100] == "missing" and by[fixity.UNREADABLE] == "added" and by[4102] == "corrupt"
+    assert {by.get(n) for n in range(4096, 4100)} == {None} and {by[n] for n in (4101, *range(4103, 4110))} == {"moved"}
