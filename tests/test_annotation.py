@@ -15,10 +15,10 @@ def valid():
     return {
         "object_summary": " red kettle ",
         "views": [
-            view("top_left", "rear_three_quarter", "left", "eye_level", "spout", "lid"),
-            view("top_right", "side", "right", "high_angle", "handle"),
-            view("bottom_left", "front", "neither", "eye_level", "logo"),
-            view("bottom_right", "back", "neither", "low_angle", "seam", "base"),
+            view("top_left", "front_three_quarter", "right", "low_angle", "spout", "lid"),
+            view("top_right", "side", "right", "underside", "handle"),
+            view("bottom_left", "front", "neither", "high_angle", "logo"),
+            view("bottom_right", "rear_three_quarter", "right", "overhead", "seam", "base"),
         ],
     }
 
@@ -34,8 +34,8 @@ def test_caption_of_a_valid_annotation(spark):
     [r] = run(spark, json.dumps(valid()))
     assert r.validation_errors == [] and r.reasons == []
     assert r.caption == (
-        "[FOUR-VIEWS] Four views of red kettle; [TOP-LEFT] Rear-left three-quarter, eye-level; spout, lid; "
-        "[TOP-RIGHT] Right side, high angle; handle; [BOTTOM-LEFT] Front, eye-level; logo; [BOTTOM-RIGHT] Back, low angle; seam, base."
+        "[FOUR-VIEWS] Four views of red kettle; [TOP-LEFT] Front-right three-quarter, low angle; spout, lid; "
+        "[TOP-RIGHT] Right side, underside; handle; [BOTTOM-LEFT] Front, high angle; logo; [BOTTOM-RIGHT] Rear-right three-quarter, overhead; seam, base."
     )
 
 
