@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import inlined
 from ..functions.text import base64_line, padded
 from ..plans.working import settle
+from ..sources import snapshots
 from .annotation import parsed
 from .cache import envelope, upsert
 from .ordering import numbered
@@ -78,6 +79,22 @@ def prepared(instances: DataFrame, cache: DataFrame, order: list[str], size: int
     return index, state.select("*", none.alias("job_name"), none.alias("state"), none.alias("result_file"), none.alias("error"))
 
 
+def store_prepared(index: DataFrame, state: DataFrame, path: str) -> None:
+    """Stores what `prepared` gives, once: requests as a table, the state as a snapshot table by chunk."""
+    index.write.parquet(f"{path}/requests")
+    store_state(state, path)
+
+
+def store_state(state: DataFrame, path: str) -> int:
+    """Puts the chunks of a state into the stored one, all at once for readers; gives the version."""
+    return snapshots.upsert(state, f"{path}/state", key="chunk")
+
+
+def stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(index, state) as they are stored."""
+    return spark.read.parquet(f"{path}/requests"), snapshots.read(spark, f"{path}/state")
+
+
 def unsubmitted(state: DataFrame) -> DataFrame:
     return state.where("job_name is null")
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,7 +75,24 @@ def composites(groups: DataFrame, *, height: int = 512, width: int = 512) -> Dat
     return groups.select("instance", "images").mapInArrow(compose, out)
 
 
-def decoded(spark, paths: DataFrame, root: str) -> DataFrame:
-    """Adds image (height, width, nChannels, data) to picked paths, by Spark's image source."""
-    files = spark.read.format("image").option("recursiveFileLookup", True).load(root).select(F.col("image.origin").alias("path"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
-    return paths.join(files, "path")
+def decoded(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
+    """Adds image (height, width, nChannels, data) to picked paths, by Spark's image source: 8-bit gray,
+    BGR or BGRA bytes. Files that are no images have null."""
+    files = spark.read.format("image").option("recursiveFileLookup", True).load(root).select(F.col("image.origin").alias("__origin"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
+    # the source names local files with three slashes, other readers with one
+    same = F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("__origin", "^file:/+", "/")
+    joined = paths.join(files, same, "left").drop("__origin")
+    return joined.withColumn("image", F.when(F.col("image.height") > 0, F.col("image")))
+
+
+def composed(spark: SparkSession, picks: DataFrame, root: str, *, height: int = 512, width: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(composites, errors) of picks (instance, pos, path): the composite of each instance whose four
+    images can be read, and (instance, error) of the others. Only picked files' pixels leave the scan."""
+    four = decoded(spark, picks.select("instance", "pos", "path"), root)
+    one = F.struct("pos", "path", "image")
+    groups = four.groupBy("instance").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("__all"), F.sort_array(F.collect_list(F.when(F.col("image").isNotNull(), one))).alias("__read"))
+    broken = F.array_except(F.transform("__all", lambda p: p["path"]), F.transform("__read", lambda p: p["path"]))
+    error = F.when(F.size(broken) > 0, F.concat(F.lit("cannot read "), F.array_join(broken, ", "))).when(F.size("__all") != 4, F.concat(F.lit("expected four images, received "), F.size("__all").cast("string")))
+    told = groups.withColumn("error", error)
+    good = told.where("error is null").select("instance", F.transform("__read", lambda p: p["image"]).alias("images"))
+    return composites(good, height=height, width=width), told.where("error is not null").select("instance", "error")
