@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,13 +133,13 @@ def collected(index: DataFrame, results: DataFrame, *, model: str) -> DataFrame:
     return envelope(read.drop("response").withColumn("model_id", F.lit(model)))
 
 
-def take_in(index: DataFrame, results: DataFrame, cache_path: str, *, model: str) -> DataFrame:
+def take_in(index: DataFrame, results: DataFrame, cache_path: str, *, model: str, put: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
     """Puts the answers among the results into the cache, by cache_key, and gives what is wrong as (key,
     status, error): requests that failed, unknown keys, answers without content, and answers that break
     the contract (`invalid`; they are in the cache with their errors). Only answers with a text replace
     an entry, so a result that is an error leaves a valid one alone. Of requests with one cache key the
-    one with the least source hashes gives the entry."""
-    got = settle(collected(index, results, model=model))
+    one with the least source hashes gives the entry. `put` writes down what is read twice."""
+    got = put(collected(index, results, model=model))
     beside = {"status", "error", "ordinal", "chunk", "input_file", "key", "cache_key"}
     fields = [c for c in got.columns if c not in beside and c in _ENTRY]
     answers = got.where(F.col("status") == "answered")

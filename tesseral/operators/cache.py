@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.working import exists, settle
+from ..plans.working import exists, working
 from .identity import CAPTION_SCHEMA_VERSION, IDENTITY_FIELDS, PROMPT_VERSION, identity_mismatch
 
 #: Parts of a cache table. An update reads and writes the parts that its keys fall into, no others.
@@ -58,9 +58,10 @@ def upsert(fresh: DataFrame, path: str, key: str = "cache_key") -> None:
     """Takes entries into the table; one that is there already gives way. `fresh` has one row per key.
     Parts are overwritten as wholes, so repeating an update that was broken off gives the same table."""
     spark = fresh.sparkSession
-    placed = settle(fresh.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
-    touched = [r[0] for r in placed.select("bucket").distinct().collect()]
-    if exists(spark, path) and touched:
-        before = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        placed = settle(placed.unionByName(before.join(placed.select(key), key, "left_anti"), allowMissingColumns=True))
-    placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    with working(spark) as put:
+        placed = put(fresh.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+        touched = [r[0] for r in placed.select("bucket").distinct().collect()]
+        if exists(spark, path) and touched:
+            before = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+            placed = put(placed.unionByName(before.join(placed.select(key), key, "left_anti"), allowMissingColumns=True))
+        placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

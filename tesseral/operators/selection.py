@@ -9,16 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key
+from ..plans.working import settle
 from .ordering import numbered
 
 # The names of the four places of a grid, in order.
 GRID_POSITIONS = ("TOP-LEFT", "TOP-RIGHT", "BOTTOM-LEFT", "BOTTOM-RIGHT")
 
 
-def evenly_spaced(rows: DataFrame, group: list[str], order: list[str], k: int = 4, *, large_groups: bool = False) -> DataFrame:
+#: Groups of more rows than this are not numbered by one task.
+LARGE = 200_000
+
+
+def evenly_spaced(rows: DataFrame, group: list[str], order: list[str], k: int = 4, *, large_groups: bool | None = None) -> DataFrame:
     """k rows of each group of k or more, at places i * n div k in the order; adds pos (0..k-1) and
     group_size. Only `rows`' columns travel: pick from keys first and join contents to the picks.
-    Groups are numbered by one task each; with `large_groups` all rows are numbered over all tasks."""
+
+    Groups are numbered by one task each, but for those of more than LARGE rows, which are counted
+    first: the rows of these are numbered over all tasks. `large_groups` says so of all groups or none,
+    and spares the count."""
+    if large_groups is None:
+        # there are at most a LARGE-th as many such groups as rows, so they are few enough to broadcast
+        sizes = rows.groupBy(*(F.col(g).alias(f"__{i}") for i, g in enumerate(group))).count().where(F.col("count") > LARGE).drop("count")
+        large = settle(sizes)
+        if large.isEmpty():
+            return evenly_spaced(rows, group, order, k, large_groups=False)
+        same = reduce(lambda a, c: a & c, (F.col(g).eqNullSafe(F.col(f"__{i}")) for i, g in enumerate(group)))
+        apart = [rows.join(F.broadcast(large), same, how) for how in ("left_semi", "left_anti")]
+        return reduce(DataFrame.unionByName, (evenly_spaced(part, group, order, k, large_groups=one) for part, one in zip(apart, (True, False))))
     if large_groups:
         every = numbered(rows, [*group, *order], "__n")
         sizes = every.groupBy(*(F.col(g).alias(f"__{i}") for i, g in enumerate(group))).agg(F.min("__n").alias("__first"), F.count("*").cast("int").alias("group_size"))

@@ -11,6 +11,7 @@ from ..operators import batches
 from ..operators.annotation import parsed
 from ..operators.batches import response_text
 from ..operators.cache import upsert
+from ..plans.working import working
 
 RESULT = "key string, response string, error string"
 
@@ -45,8 +46,9 @@ def take_in(spark: SparkSession, path: str, index_path: str, cache_path: str, ch
     `batches.take_in`). A repeated batch writes the same entries and errors again."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        wrong = batches.take_in(spark.read.parquet(index_path), _ordered(batch), cache_path, model=model)
-        wrong.write.mode("overwrite").json(f"{errors_path.rstrip('/')}/batch={number}")
+        with working(spark) as put:  # a stream may run for long: its working tables go with each batch
+            wrong = batches.take_in(spark.read.parquet(index_path), _ordered(batch), cache_path, model=model, put=put)
+            wrong.write.mode("overwrite").json(f"{errors_path.rstrip('/')}/batch={number}")
 
     _run(landed(spark, path), merge, checkpoint)
 

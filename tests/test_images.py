@@ -64,3 +64,11 @@ def test_prepared_batches_are_stored(spark, tmp_path):
     assert {r.chunk: r.job_name for r in batches.stored(spark, path)[1].collect()} == {0: None, 1: "job-b"}
     with pytest.raises(Exception):
         batches.store_prepared(index, state, path)
+
+
+def test_large_groups_are_picked_from_over_all_tasks(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("case when id < 700 then 'hot' when id < 703 then 'few' when id < 850 then null else concat('g', id % 20) end as g", "(id * 7919) % 1000 as o")
+    want = sorted((r.g or "", r.o, r.pos, r.group_size) for r in selection.evenly_spaced(rows, ["g"], ["o"], large_groups=False).collect())
+    monkeypatch.setattr(selection, "LARGE", 100)
+    got = selection.evenly_spaced(rows, ["g"], ["o"])
+    assert sorted((r.g or "", r.o, r.pos, r.group_size) for r in got.collect()) == want and len(want) == 4 * 22 and got.columns == ["g", "o", "group_size", "pos"]
