@@ -28,7 +28,9 @@ def sheet_size(n: int, columns: int, tile: int, heights: list[int]) -> tuple[int
 def rename_map(files: DataFrame, name: str = "name", *, start: int = 1) -> DataFrame:
     """(name, new_name, new_stem): image and caption of one stem get one number, in order of stems.
     Names that two files would get, or that stay with a file outside the map, are the caller's to check
-    with `rename_collisions`."""
+    with `rename_collisions`, files without their other half with `unpaired`."""
+    if start < 0:
+        raise ValueError("numbers begin at 0 or later")
     images = F.col("__suffix").isin(".png", ".jpg", ".jpeg")
     named = files.select(name, stem(F.col(name)).alias("__stem"), suffix(F.col(name)).alias("__suffix")).where(images | (F.col("__suffix") == ".txt"))
     pairs = named.groupBy("__stem").agg(F.max(images.cast("int")).alias("i"), F.max((F.col("__suffix") == ".txt").cast("int")).alias("t")).where("i = 1 and t = 1")
@@ -38,6 +40,14 @@ def rename_map(files: DataFrame, name: str = "name", *, start: int = 1) -> DataF
     return mapped.select(name, F.concat(new, F.col("__suffix")).alias("new_name"), new.alias("new_stem"))
 
 
+def unpaired(files: DataFrame, name: str = "name") -> DataFrame:
+    """(stem, error) of images without caption, captions without image, and stems with two images."""
+    end = suffix(F.col(name))
+    counted = files.groupBy(stem(F.col(name)).alias("stem")).agg(F.count_if(end.isin(".png", ".jpg", ".jpeg")).alias("i"), F.count_if(end == ".txt").alias("t"))
+    error = F.when((F.col("i") > 0) & (F.col("t") == 0), "image without caption").when((F.col("i") == 0) & (F.col("t") > 0), "caption without image").when(F.col("i") > 1, "several images")
+    return counted.select("stem", error.alias("error")).where("error is not null")
+
+
 def rename_collisions(mapping: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
     """New names that are not unique, or that a file outside the mapping already has."""
     twice = mapping.groupBy("new_name").agg(F.count("*").alias("n")).where("n > 1").select("new_name")

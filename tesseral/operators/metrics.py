@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ratio, seeded_key
 from ..plans.working import settle
 from .filters import any_might, bits_for
-from .ordering import numbered, running
+from .ordering import numbered, running, running_max
 
 
 def valid_rate(rows: DataFrame, valid: Column) -> DataFrame:
@@ -234,13 +234,11 @@ def tile_pairs(rows: DataFrame, group: str, position: str, vector: str, *, dupli
 
 
 def holm(tests: DataFrame, ident: str, p_value: str) -> DataFrame:
-    """Holm's step-down adjustment over a family of tests (a few dozen rows)."""
-    m = F.count("*").over(Window.partitionBy())
-    order = Window.orderBy(p_value, ident)
-    scaled = tests.withColumn("__m", m).withColumn("__r", F.row_number().over(order))
-    scaled = scaled.withColumn("__s", F.col(p_value) * (F.col("__m") - F.col("__r") + 1))
-    adjusted = F.least(F.lit(1.0), F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return scaled.withColumn("adjusted", adjusted).drop("__m", "__r", "__s")
+    """Holm's step-down adjustment over a family of tests of any size: ranks and running maxima are
+    found range by range."""
+    m = tests.count()
+    scaled = numbered(tests, [p_value, ident], "__r").withColumn("__s", F.col(p_value) * (F.lit(m) - F.col("__r")))
+    return running_max(scaled, [p_value, ident], "__s", "adjusted").withColumn("adjusted", F.least(F.lit(1.0), "adjusted")).drop("__r", "__s")
 
 
 def bootstrap(rows: DataFrame, group: str | list[str], value: str, *, resamples: int = 200, seed: str | int = 17) -> DataFrame:

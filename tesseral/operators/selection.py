@@ -27,6 +27,8 @@ def evenly_spaced(rows: DataFrame, group: list[str], order: list[str], k: int =
     Groups are numbered by one task each, but for those of more than LARGE rows, which are counted
     first: the rows of these are numbered over all tasks. `large_groups` says so of all groups or none,
     and spares the count."""
+    if k < 1:
+        raise ValueError("at least one row must be picked")
     if large_groups is None:
         # there are at most a LARGE-th as many such groups as rows, so they are few enough to broadcast
         sizes = rows.groupBy(*(F.col(g).alias(f"__{i}") for i, g in enumerate(group))).count().where(F.col("count") > LARGE).drop("count")

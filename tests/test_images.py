@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_cache import instances
-from tesseral.operators import batches, images, selection
+from tesseral.operators import batches, images, layout, metrics, selection
 from tesseral.sources import tree
 
 
@@ -72,3 +72,24 @@ def test_large_groups_are_picked_from_over_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(selection, "LARGE", 100)
     got = selection.evenly_spaced(rows, ["g"], ["o"])
     assert sorted((r.g or "", r.o, r.pos, r.group_size) for r in got.collect()) == want and len(want) == 4 * 22 and got.columns == ["g", "o", "group_size", "pos"]
+
+
+def test_guards_and_halves(spark):
+    rows = spark.createDataFrame([("a.png",), ("a.txt",), ("b.png",), ("c.txt",), ("d.png",), ("d.JPG",), ("d.txt",), ("e.md",)], "name string")
+    assert {(r.stem, r.error) for r in layout.unpaired(rows).collect()} == {("b", "image without caption"), ("c", "caption without image"), ("d", "several images")}
+    with pytest.raises(ValueError):
+        layout.rename_map(rows, start=-1)
+    with pytest.raises(ValueError):
+        selection.evenly_spaced(rows, ["name"], ["name"], 0)
+
+
+def test_holm_over_a_large_family(spark):
+    ps = [round(((i * 7919) % 1009) / 1009 * 0.002 * (1 + i % 5), 9) for i in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(ps)), "t int, p double").repartition(5)
+    got = {r.t: r.adjusted for r in metrics.holm(rows, "t", "p").collect()}
+    top, want = 0.0, {}
+    for r, (p, t) in enumerate(sorted((p, t) for t, p in enumerate(ps))):
+        top = max(top, p * (1000 - r))
+        want[t] = min(1.0, top)
+    assert got == pytest.approx(want) and 1.0 in want.values()
+    assert metrics.holm(rows.limit(0), "t", "p").collect() == []
