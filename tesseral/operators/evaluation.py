@@ -111,6 +111,12 @@ def scorecard(blind: DataFrame) -> DataFrame:
     return blind.select(ident.alias("pair_id"), "prompt_id", "seed", "blind_label", image.alias("image_path"), "prompt", *(F.lit("").alias(f) for f in SCORE_FIELDS))
 
 
+def blind_copies(blind: DataFrame, folder: str) -> DataFrame:
+    """(source, target): where each output goes under its blind name. For `placing.copy_files`."""
+    image = F.concat(F.lit(folder.rstrip("/") + "/images/"), pair_id(F.col("pair_number")), F.lit("_"), F.col("blind_label"), F.lit(".png"))
+    return blind.select(F.col("output_path").alias("source"), image.alias("target"))
+
+
 def blind_key(blind: DataFrame) -> DataFrame:
     path = F.col("output_path") if "output_path" in blind.columns else F.lit(None).cast("string")
     return blind.select("blind_label", "condition", path.alias("original_output_path"), pair_id(F.col("pair_number")).alias("pair_id"), "prompt_id", "seed")

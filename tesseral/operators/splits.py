@@ -91,6 +91,25 @@ def copy_plan(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return a.join(b, "name", "full").select("name", action.alias("action"))
 
 
+def placing_plan(rows: DataFrame, folder: str, *, files: tuple[str, ...] = ("image", "caption")) -> DataFrame:
+    """(source, target) of the files of a split (columns of URIs, and split): each goes below the folder
+    of its side under its own name. For `placing.copy_files`."""
+    each = rows.select("split", F.explode(F.array(*(F.col(f) for f in files))).alias("source"))
+    name = F.element_at(F.split("source", "/"), -1)
+    return each.select("source", F.concat(F.lit(folder.rstrip("/") + "/"), "split", F.lit("/"), name).alias("target"))
+
+
+def placed_errors(rows: DataFrame, entries: DataFrame, *, files: tuple[str, ...] = ("image", "caption")) -> DataFrame:
+    """(split, name, error) where the files of a side's folder are not those of the split: `missing`, or
+    `not of the split`. `entries` (path, kind) is a listing of the folder, as `tree.tree` gives it."""
+    parts = lambda c: F.split(c, "/")
+    wanted = rows.select("split", F.explode(F.array(*(F.element_at(parts(F.col(f)), -1) for f in files))).alias("name")).distinct()
+    found = entries.where("kind = 'file'").select(F.element_at(parts(F.col("path")), -2).alias("split"), F.element_at(parts(F.col("path")), -1).alias("name"))
+    found = found.where(suffix(F.col("name")).isin(".png", ".txt")).distinct()
+    gone = wanted.join(found, ["split", "name"], "left_anti").withColumn("error", F.lit("missing"))
+    return gone.unionByName(found.join(wanted, ["split", "name"], "left_anti").withColumn("error", F.lit("not of the split")))
+
+
 def split_manifest(rows: DataFrame, *, seed: int, fraction: float) -> DataFrame:
     """The manifest of a split, by (split, stem)."""
     return rows.select("*", F.lit(seed).alias("seed"), F.lit(float(fraction)).alias("holdout_fraction")).orderBy("split", "stem")

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tesseral.operators import layout, selection, splits
+from tesseral.operators import evaluation, layout, selection, splits
 from tesseral.sources import placing, tree
 
 
@@ -74,6 +74,24 @@ def test_renumbering_in_place(spark, tmp_path):
     assert left["0001.png"] == b"first" and left["keep.md"] == b"k" and left["new.jpg"] == b"third" and len(left) == 7
 
 
+def test_split_and_blind_copies_by_plan(spark, tmp_path):
+    put(tmp_path, **{f"in__{n}_{e}": f"{n}{e}".encode() for n in "abc" for e in ("png", "txt")}, split__train__old_png=b"o")
+    base = f"file://{tmp_path}"
+    rows = spark.createDataFrame([(f"{base}/in/{n}.png", f"{base}/in/{n}.txt", "holdout" if n == "b" else "train") for n in "abc"], "image string, caption string, split string")
+    assert {r.outcome for r in placing.copy_files(splits.placing_plan(rows, f"{base}/split/")).collect()} == {"copied"}
+    assert set(files_of(tmp_path / "split")) == {"train/a.png", "train/a.txt", "train/c.png", "train/c.txt", "holdout/b.png", "holdout/b.txt", "train/old.png"}
+    listing = lambda: splits.placed_errors(rows, tree.tree(spark, f"{base}/split"))
+    assert [tuple(r) for r in listing().collect()] == [("train", "old.png", "not of the split")]
+    (tmp_path / "split/train/old.png").rename(tmp_path / "old.png")
+    (tmp_path / "split/holdout/b.txt").unlink()
+    assert [tuple(r) for r in listing().collect()] == [("holdout", "b.txt", "missing")]
+    records = spark.createDataFrame([("p", 1001, c, f"{base}/in/{f}.png") for c, f in (("base", "a"), ("lora", "b"))], "prompt_id string, seed int, condition string, output_path string")
+    blind = evaluation.blinded_by_stream(records)
+    assert {r.outcome for r in placing.copy_files(evaluation.blind_copies(blind, f"{base}/eval")).collect()} == {"copied"}
+    label = {r.condition: r.blind_label for r in blind.collect()}
+    assert files_of(tmp_path / "eval") == {f"images/pair-001_{label['base']}.png": b"apng", f"images/pair-001_{label['lora']}.png": b"bpng"}
+
+
 @pytest.fixture
 def objects(tmp_path):
     root = tmp_path / "data"
