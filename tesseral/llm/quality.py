@@ -138,13 +138,14 @@ def common_lines(docs: DataFrame, *, host: str = "source", min_docs: int = COMMO
     part = lambda k: lambda h: F.substring(h, 1 + DIGITS * k, DIGITS)
     least = bound(hashes, lambda hs: F.array(*(F.array_min(F.transform(hs, part(k))) for k in range(GROUPINGS))))
     grouped = texts.select("__host", "__lines", least.alias("__least"))
-    sizes = grouped.select(F.col("__host").alias("__h"), F.posexplode("__least").alias("k", "g")).distinct().groupBy("__h", "k").agg(F.count("*").alias("n_host"))
-    sizes = sizes.withColumnRenamed("k", "__k")
-    beside = grouped.join(able, F.col("__host").eqNullSafe(F.col("__h"))).withColumn("__at", _places("__lines"))
-    found = beside.where(F.size("__at") > 0).select("__host", "__least", F.explode(F.transform("__at", lambda i: _line_key(F.get("__lines", i)))).alias("l"))
-    found = found.select("__host", F.col("l.l1").alias("__l1"), F.col("l.l2").alias("__l2"), F.posexplode("__least").alias("k", "g"))
-    counts = found.distinct().groupBy("__host", "__l1", "__l2", "k").agg(F.count("*").alias("n"))
-    sized = counts.join(sizes, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("k") == F.col("__k")))
+    beside = grouped.join(able, F.col("__host").eqNullSafe(F.col("__h")), "left").withColumn("__common", F.coalesce("__common", F.array().cast(LINES)))
+    # one pass for both counts: no line stands for the host itself
+    keys = F.concat(F.array(F.lit(None)).cast(LINES), F.transform("__at", lambda i: _line_key(F.get("__lines", i))))
+    found = beside.withColumn("__at", _places("__lines")).select("__host", "__least", F.explode_outer(keys).alias("l")).select("__host", "l", F.posexplode_outer("__least").alias("k", "g"))
+    counts = settle(found.distinct().groupBy("__host", "l", "k").agg(F.count("*").alias("n")))
+    hosts = counts.where("l is null").select(F.col("__host").alias("__h"), F.col("k").alias("__k"), F.col("n").alias("n_host"))
+    counts = counts.where("l is not null").select("__host", F.col("l.l1").alias("__l1"), F.col("l.l2").alias("__l2"), "k", "n")
+    sized = counts.join(hosts, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("k") == F.col("__k")))
     most = sized.groupBy("__host", "__l1", "__l2").agg(F.count_if(above(min(min_docs, COMMON_GROUPS))).alias("n")).where(F.col("n") > GROUPINGS // 2)
     return most.select("__host", "__l1", "__l2")
 
