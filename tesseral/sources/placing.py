@@ -1,13 +1,17 @@
 """Files copied or moved by tasks, as a data source that rows of (source, target) are written to.
 
 A task writes each file beside its target and renames it there, so a target is whole or absent; before
-that it notes the target in a journal. If the job is given up, whatever the journals name goes (moved
-files go back). Outcomes come as rows: the tasks write them down, and those of tasks that count stay.
+that it notes the target in a journal. If the job is given up, that is marked, and whatever the journals
+name goes (moved files go back). A task that still runs looks for the mark before and after each file: what
+it makes after the journals were read it undoes itself. Outcomes come as rows: the tasks write them down,
+and those of tasks that count stay.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +26,29 @@ from .places import BLOCK, digest, located, there
 
 FORMAT = "tesseral-files"
 OUTCOMES = "source string, target string, outcome string, sha256 string"
+#: Seconds after which tasks of a job that is given up have ended, and the journals are read again.
+LAST_TASKS_S = 3.0
+
+
+def _copied(at, path: str, to, goal: str) -> str:
+    """Copies a file beside its target; gives its name there."""
+    folder = goal.rpartition("/")[0]
+    to.create_dir(folder, recursive=True)
+    beside = f"{folder}/.{uuid.uuid4().hex}"
+    with at.open_input_stream(path) as f, to.open_output_stream(beside) as g:
+        while block := f.read(BLOCK):
+            g.write(block)
+    return beside
+
+
+def _undo(source: str, target: str, move: bool) -> None:
+    """Takes a placed file away, and back to its source if it was moved. Another one may be doing the same."""
+    (at, path), (to, goal) = located(source), located(target)
+    with contextlib.suppress(FileNotFoundError):
+        if there(to, goal):
+            if move and not there(at, path):
+                at.move(_copied(to, goal, at, path), path)
+            to.delete_file(goal)
 
 
 @dataclass
@@ -56,21 +83,31 @@ class _Writer(DataSourceWriter):
         if there(to, goal):
             # a file that this job's lost attempt has moved or copied has these bytes, too
             return ("same" if digest(to, goal) == sha else "conflict"), sha
-        journal.write((json.dumps({"source": source, "target": target}) + "\n").encode())
-        journal.flush()
-        to.create_dir(goal.rpartition("/")[0], recursive=True)
-        beside = f"{goal.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-        with at.open_input_stream(path) as f, to.open_output_stream(beside) as g:
-            while block := f.read(BLOCK):
-                g.write(block)
-        if digest(to, beside) != sha:
+        beside = _copied(at, path, to, goal)
+        try:
+            if digest(to, beside) != sha:
+                raise OSError(f"{source} changed while it was copied")
+            journal.write((json.dumps({"source": source, "target": target}) + "\n").encode())
+            journal.flush()
+            self._go_on()
+        except BaseException:
             to.delete_file(beside)
-            raise OSError(f"{source} changed while it was copied")
+            raise
         to.move(beside, goal)
         if self.move:
             at.delete_file(path)
+        try:
+            self._go_on()
+        except InterruptedError:
+            _undo(source, target, self.move)
+            raise
         return ("moved" if self.move else "copied"), sha
 
+    def _go_on(self) -> None:
+        files, report = located(self.report)
+        if there(files, f"{report}/aborted"):
+            raise InterruptedError("the job has been given up")
+
     def commit(self, messages: list[Placed | None]) -> None:
         files, report = located(self.report)
         from pyarrow import fs
@@ -84,19 +121,17 @@ class _Writer(DataSourceWriter):
         files, report = located(self.report)
         from pyarrow import fs
 
-        for info in files.get_file_info(fs.FileSelector(f"{report}/journal", allow_not_found=True)):
-            with files.open_input_stream(info.path) as f:
-                lines = f.read().decode().split("\n")[:-1]
-            for line in reversed(lines):
-                entry = json.loads(line)
-                (at, path), (to, goal) = located(entry["source"]), located(entry["target"])
-                if not there(to, goal):
-                    continue
-                if self.move and not there(at, path):
-                    with to.open_input_stream(goal) as f, at.open_output_stream(path) as g:
-                        while block := f.read(BLOCK):
-                            g.write(block)
-                to.delete_file(goal)
+        files.create_dir(report, recursive=True)
+        with files.open_output_stream(f"{report}/aborted"):
+            pass
+        for pause in (0.0, LAST_TASKS_S):
+            time.sleep(pause)
+            for info in files.get_file_info(fs.FileSelector(f"{report}/journal", allow_not_found=True)):
+                with files.open_input_stream(info.path) as f:
+                    lines = f.read().decode().split("\n")[:-1]
+                for line in reversed(lines):
+                    entry = json.loads(line)
+                    _undo(entry["source"], entry["target"], self.move)
 
 
 class FilePlaces(DataSource):
@@ -113,6 +148,8 @@ class FilePlaces(DataSource):
 def _written(rows: DataFrame, report: str, move: bool) -> DataFrame:
     spark = rows.sparkSession
     spark.dataSource.register(FilePlaces)
+    for own in ("journal", "outcomes", "aborted"):  # an earlier job's are settled
+        remove(spark, f"{report}/{own}")
     rows.select("source", "target").write.format(FORMAT).option("report", report).option("move", str(move).lower()).mode("append").save()
     return spark.read.schema(OUTCOMES).json(f"{report}/outcomes")
 

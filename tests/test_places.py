@@ -47,6 +47,12 @@ def test_an_aborted_job_leaves_no_file(spark, tmp_path, monkeypatch, move):
     with pytest.raises(Exception):
         placing._written(plan(spark, tmp_path, *pairs).repartition(3), f"file://{tmp_path}/report", move)
     assert {k: v for k, v in files_of(tmp_path).items() if not k.startswith("report")} == before
+    # the same report again, without what had failed; and an abort takes nothing of an earlier job away
+    done = placing._written(plan(spark, tmp_path, *pairs[:3]), f"file://{tmp_path}/report", move)
+    assert {r.outcome for r in done.collect()} == {"moved" if move else "copied"}
+    with pytest.raises(Exception):
+        placing._written(plan(spark, tmp_path, *pairs[5:]).repartition(3), f"file://{tmp_path}/report", move)
+    assert set(files_of(tmp_path / "out")) == {"0.png", "1.png", "2.png", "3.png", "4.png"}
 
 
 def test_split_is_materialised(spark, tmp_path):
