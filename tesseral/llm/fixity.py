@@ -184,7 +184,8 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     `missing` (only in the first), `added` (only in the second) or `moved` (same bytes elsewhere).
 
     Equal replicas end at the root. Otherwise each level joins the children of differing nodes only.
-    Repeated rows are told apart as copies; numbers decide the archive, so a hot host or page does
+    Repeated rows are told apart as copies, those of one number by their hashes; null columns of pages
+    are empty in their records; numbers decide the archive, so a hot host or page does
     not matter. Two empty replicas are equal.
     """
     return _compared(settle(leaves(first)), settle(leaves(second)))

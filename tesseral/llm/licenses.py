@@ -180,7 +180,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, *,
 
     Base: each place where a phrase's words stand consecutively. The template spans of `spans` add
     labels; score is the best covered part of a template, or 1 with a phrase. license_spans holds
-    (template, first_word, end_word, covered) in order.
+    (template, first_word, end_word, covered) in order. Templates that cover a place equally well each
+    add their label.
 
     Nulls: a null text is empty, doc_id is not looked at; repeated rows get equal results; an empty
     table gives an empty one. Input columns named like an added one are replaced, others carried.

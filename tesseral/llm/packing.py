@@ -258,7 +258,9 @@ def pack(pieces: DataFrame, *, context: int = CONTEXT) -> DataFrame:
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
     """The pieces of `docs` with their places. Texts of any length, null (empty) ones, null ids and
-    repeated rows all keep their pieces; other columns of `docs` are not looked at."""
+    repeated rows all keep their pieces; other columns of `docs` are not looked at. Pieces of equal
+    length are placed by rank: which of them gets which slot does not matter for the packing. An empty
+    table gives none."""
     return pack(settle(tokenise(docs, tokenizer=tokenizer, context=context, end_id=end_id)), context=context)
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.working import _file_system
+from ..plans.working import file_system
 from .common import bound, fold, shielded, text_or_empty, working
 
 
@@ -89,7 +89,7 @@ def places(text: Column, rule: Rule) -> Column:
 
 def entries(spark: SparkSession, ledger: str) -> DataFrame | None:
     """The ledger's rows, or None if nothing has been committed."""
-    files, at = _file_system(spark, ledger)
+    files, at = file_system(spark, ledger)
     some = files.exists(at) and any(s.getPath().getName().startswith("commit=") for s in files.listStatus(at))
     return spark.read.schema(ENTRY).parquet(ledger).select("blob", "rules", "places") if some else None
 
@@ -99,8 +99,8 @@ def _commit(rows: DataFrame, ledger: str) -> None:
     renaming, so that a scan which was broken off has left nothing, and the next one does it again."""
     name = uuid.uuid4().hex
     rows.write.parquet(f"{ledger}/_{name}")
-    files, at = _file_system(rows.sparkSession, f"{ledger}/_{name}")
-    if not files.rename(at, _file_system(rows.sparkSession, f"{ledger}/commit={name}")[1]):
+    files, at = file_system(rows.sparkSession, f"{ledger}/_{name}")
+    if not files.rename(at, file_system(rows.sparkSession, f"{ledger}/commit={name}")[1]):
         raise OSError(f"cannot commit to {ledger}")
 
 
