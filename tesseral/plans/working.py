@@ -28,7 +28,7 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="tesseral-")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
@@ -36,24 +36,21 @@ def _file_system(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, name: str = "") -> str:
     """A new place in the shared folder for a table; it goes when the session's JVM ends, if not before."""
     path = f"{shared_dir(spark)}/tesseral-{uuid.uuid4().hex}{name}"
-    files, at = _file_system(spark, path)
+    files, at = file_system(spark, path)
     files.mkdirs(at)
     files.deleteOnExit(at)
     return path
 
 
-file_system = _file_system
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    files, at = _file_system(spark, path)
+    files, at = file_system(spark, path)
     return files.exists(at)
 
 
 def write_new(spark: SparkSession, path: str, text: str) -> bool:
     """Writes a small file under a name that nothing has yet, as a whole: written beside it and renamed
     without overwriting. False if the name is taken."""
-    files, at = _file_system(spark, path)
+    files, at = file_system(spark, path)
     beside, jvm = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}"), spark._jvm
     out = files.create(beside, False)
     try:
@@ -74,7 +71,7 @@ def write_new(spark: SparkSession, path: str, text: str) -> bool:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    files, at = _file_system(spark, path)
+    files, at = file_system(spark, path)
     files.delete(at, True)
 
 
