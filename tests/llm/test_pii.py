@@ -4,9 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from tesseral.llm import pii
+from tesseral.llm import pii, queries
 from tesseral.llm.common import SPACE
 
 SCHEMA = "doc_id long, text string, pii_spans string"
@@ -198,3 +199,15 @@ def test_chance_neighbours_stay_and_planted_names_go(spark):
     assert not any(found[i] for i in without)
     plain = {r.doc_id: [s for s in r.pii_spans if s.kind == "term"] for r in pii.find(docs).collect()}
     assert any(plain[i] for i in without)  # which the plain estimate does mark
+
+
+def test_query_and_its_sql_mark_terms_that_met_their_entity_once(spark, tmp_path):
+    # as the general estimate has it: one meeting is enough, also for a term that other texts have
+    texts = [f"filler text {i} of the corpus" for i in range(400)]
+    texts += ["see to quillon at q@home.example as was agreed", "the quillon of another text"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.op5_pii(spark, str(tmp_path)).collect()}
+    assert "term:7:14" in got[400].split(",") and got[401] == "term:4:11"
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(duck.sql(f"select doc_id, spans from ({queries.OP5_SQL})").fetchall())
