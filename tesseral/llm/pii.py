@@ -40,9 +40,6 @@ MIN_TEXTS, GENERALISE_FROM, REMOVE_FROM = 1, 0.8, 0.95
 IN_TOKEN = r"\p{L}\p{M}\p{N}@._%+-"
 JOINERS = "@._%+-"
 CUT, JOINER = f"[^{IN_TOKEN}]", f"[{JOINERS}]"
-#: Distinct texts in which a term must have met an entity if it stands in more than one text: a word that
-#: came near an address once, and stands elsewhere too, is there by chance as likely as not.
-MEETINGS = 2
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string,share:double>>"
 MATCH = "array<struct<kind:string,rank:int,start:int,end:int,value:string,left:string,right:string>>"
@@ -222,8 +219,8 @@ def disclosing(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosed: float
 def find(docs: DataFrame, *, min_texts: int = MIN_TEXTS, disclosed: float = GENERALISE_FROM, meetings: int = 1) -> DataFrame:
     """`docs` with pii_spans: (start, rank, end, kind, value, share) of every match, and of every
     term (kind `term`, rank 4) whose share of some entity's information is `disclosed` or more,
-    wherever it stands: a term that gives an entity away does so in other texts, too. `meetings` holds
-    off chance neighbours: see `disclosing`.
+    wherever it stands: a term that gives an entity away does so in other texts, too. `meetings` over 1
+    leaves out terms that met their entity once: see `disclosing`.
 
     Nulls: a null text is empty; doc_id is not looked at, repeated rows get equal spans; an empty
     table gives an empty one. A column named pii_spans is replaced, others are carried along.
