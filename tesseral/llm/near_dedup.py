@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_keys, paired, settle, shielded, text_or_empty, words_of, working
+from .common import content_keys, paired, settle, shielded, sparing, text_or_empty, words_of, working
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair meets in some band with probability 0.99994; at 0.2 with 0.002.
@@ -149,33 +149,39 @@ def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, PARITIES), axis=1).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Band keys and parities of the shingle sets, whose similarity decides on links; texts that
     repeat shingles get the keys of their weighted signatures as well, which differ only there."""
+    for rows, values, offsets in _slices(batch, 512):
+        once, ends = _distinct(values, offsets)
+        keys = band_keys(signatures(once, ends))
+        use = np.repeat((np.diff(ends) > 0)[:, None], BANDS, axis=1)
+        again = np.flatnonzero(np.diff(offsets) != np.diff(ends))
+        more = np.zeros_like(keys)
+        also = np.zeros_like(use)
+        if len(again):
+            parts = [values[offsets[i] : offsets[i + 1]] for i in again]
+            more[again] = band_keys(signatures(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))
+            also[again] = more[again] != keys[again]
+        use = np.hstack([use, also])
+        places = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
+        odd = parities(once, ends)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(i).slice(rows.start, rows.stop - rows.start) for i in range(3)),
+                pa.array(np.diff(ends).astype(np.int32)),
+                pa.ListArray.from_arrays(places, np.hstack([keys, more])[use]),
+                pa.ListArray.from_arrays(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32), odd.ravel()),
+            ],
+            names=["id", "k0", "k1", "n", "keys", "odd"],
+        )
+
+
+@sparing
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, values, offsets in _slices(batch, 512):
-            once, ends = _distinct(values, offsets)
-            keys = band_keys(signatures(once, ends))
-            use = np.repeat((np.diff(ends) > 0)[:, None], BANDS, axis=1)
-            again = np.flatnonzero(np.diff(offsets) != np.diff(ends))
-            more = np.zeros_like(keys)
-            also = np.zeros_like(use)
-            if len(again):
-                parts = [values[offsets[i] : offsets[i + 1]] for i in again]
-                more[again] = band_keys(signatures(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))
-                also[again] = more[again] != keys[again]
-            use = np.hstack([use, also])
-            places = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
-            odd = parities(once, ends)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i).slice(rows.start, rows.stop - rows.start) for i in range(3)),
-                    pa.array(np.diff(ends).astype(np.int32)),
-                    pa.ListArray.from_arrays(places, np.hstack([keys, more])[use]),
-                    pa.ListArray.from_arrays(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32), odd.ravel()),
-                ],
-                names=["id", "k0", "k1", "n", "keys", "odd"],
-            )
+        yield from _signed(batch)
+        del batch  # before the next one is read
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -193,7 +199,7 @@ def _keys(text: Column) -> tuple[Column, Column]:
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(k0, k1, first, last, n, keys, odd): the distinct word sequences, by content key, with the
-    smallest and largest document of each, and what _sign finds. Rows are signed where they lie; copies are dropped
+    smallest and largest document of each, and what _signed finds. Rows are signed where they lie; copies are dropped
     afterwards, within tasks first, so that no text moves."""
     k0, k1 = _keys(F.col("__text"))
     rows = with_shingles(_identified(docs).select("__id", k0.alias("k0"), k1.alias("k1"), "__text"), F.col("__text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, settle
+from .common import partitions, settle, sparing
 
 CONTEXT, END_ID = 4096, 1
 #: Words whose ids a worker remembers; when full, the older half is forgotten.
@@ -138,6 +138,12 @@ class _Words(dict):
         self[stretch] = found
         return found
 
+    def forget(self) -> None:
+        """Ids are kept within a task: its worker lives on, and other stages need the memory."""
+        self.clear()
+        self.older = {}
+        self[""] = b""
+
     def _look(self, stretch: str) -> bytes:
         stem = stretch.rstrip(self.MARKS)
         low = stem.lower()
@@ -190,8 +196,15 @@ def tokenise(docs: DataFrame, *, tokenizer: str | None = None, context: int = CO
     path = tokenizer or default_tokenizer()
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @sparing
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
+        try:
+            yield from encoded(batches, words)
+        finally:
+            words.forget()
+
+    def encoded(batches: Iterator[pa.RecordBatch], words: _Words) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             held = 0

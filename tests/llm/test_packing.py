@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,3 +135,18 @@ def test_empty_table(spark):
 def test_lengths_must_fit():
     with pytest.raises(ValueError):
         packing.plan_best_fit({10: 1}, 5)
+
+
+def test_workers_keep_no_words_after_their_tasks(spark):
+    # a worker is used again by the next stages, which need its memory
+    path = packing.default_tokenizer()
+    docs = spark.createDataFrame([(i, f"some{i} other{i} words{i}", None) for i in range(2000)], SCHEMA).repartition(4)
+    assert packing.tokenise(docs).count() == 2000
+
+    def kept(batches):
+        list(batches)
+        words = packing._words(path)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(words) + len(words.older)], pa.int64())})
+
+    found = [r.n for r in spark.range(0, 4, 1, 4).mapInArrow(kept, "n long").collect()]
+    assert len(found) == 4 and max(found) == 1  # the empty word
